@@ -42,6 +42,6 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT it
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
-""".replace("\\", "\")
+"""
 
 ORACLES: dict[str, str] = {"op3_decontaminate": _OP3_SQL}
