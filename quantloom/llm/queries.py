@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, pieces, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns and literals given to sensitive names."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of held-out rows are not learnt from."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op9_quality": op9_quality}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document's whole text, and the digest of what they decode to."""
+    return pieces.tokenize(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 #: Words and windows in plain SQL: every n-gram of the documents, of the lengths that windows have, joined with the windows.
 _OP3_SQL = r"""

@@ -152,3 +152,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = least.groupBy("root").agg(F.min("first").alias("component"))
     final = least.join(roots, "root").select("fp", "component")
     return fp.join(final, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The documents, all columns, less all but one of each near-duplicate group: the smallest id stays.
+
+    Rows that repeat an id are one document. A row without an id is known by its text and stays only where
+    no row of its group has an id.
+    """
+    far = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), far))
+    groups = near_duplicates(keyed, "_key", "text", radius=radius)
+    stay = groups.where("id = component").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
