@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,8 +172,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with secrets replaced in text and n_chars (where present) counted anew."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         return text.map(lambda t: redact(t) if t else t)
