@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, secrets, simhash
+from . import decontaminate, pieces, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out rows are not learnt from."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a 13-word window of a benchmark item, and the contamination rule."""
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,7 +43,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 #: Words and windows in plain SQL: every n-gram of the documents, of the lengths that windows have, joined with the windows.
 _OP3_SQL = r"""
