@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, secrets, simhash, toxicity
+from . import decontaminate, pieces, quality, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to compressed WARC archives and read back."""
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base patterns and literals given to sensitive names."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -43,7 +48,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op5_warc": op5_warc, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 #: Words and windows in plain SQL: every n-gram of the documents, of the lengths that windows have, joined with the windows.
 _OP3_SQL = r"""
@@ -59,4 +64,12 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": _OP3_SQL}
+_OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op5_warc": _OP5_SQL, "op3_decontaminate": _OP3_SQL}
