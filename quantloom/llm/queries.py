@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, secrets, simhash, toxicity, warc, webp
+from . import decontaminate, licenses, pieces, quality, secrets, simhash, toxicity, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and statements in every document, with matched words and spans."""
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as lossless WebP, read back and measured."""
     return webp.media(_table(spark, sf_dir, "documents"))
@@ -53,7 +58,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op5_warc": op5_warc, "op7_webp": op7_webp, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_webp": op7_webp, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 #: Words and windows in plain SQL: every n-gram of the documents, of the lengths that windows have, joined with the windows.
 _OP3_SQL = r"""
