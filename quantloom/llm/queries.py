@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, quality, secrets, simhash, toxicity, warc, webp
+from . import decontaminate, licenses, pieces, quality, secrets, simhash, substrings, toxicity, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in a 400-byte string which starts anywhere else too."""
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to compressed WARC archives and read back."""
     return warc.archive(_table(spark, sf_dir, "pages"))
@@ -58,7 +63,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_webp": op7_webp, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_webp": op7_webp, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 #: Words and windows in plain SQL: every n-gram of the documents, of the lengths that windows have, joined with the windows.
 _OP3_SQL = r"""
