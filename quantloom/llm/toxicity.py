@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, texts
@@ -75,10 +75,10 @@ class Hasher:
         return np.array(out, np.int64)
 
 
-def distinct_estimate(mask: np.ndarray, count: np.ndarray) -> np.ndarray:
+def distinct_estimate(mask: str, count: str) -> Column:
     """Distinct predecessors from a 64-slot mask (linear counting), at most the count."""
-    free = 64 - np.bitwise_count(mask).astype(float)
-    return np.where(free > 0, np.minimum(count, 64 * np.log(64 / np.maximum(free, 1))), count)
+    free = 64 - F.bit_count(mask)
+    return F.when(free > 0, F.least(F.col(count).cast("double"), 64 * F.log(64 / F.greatest(free, F.lit(1)).cast("double")))).otherwise(F.col(count).cast("double"))
 
 
 @dataclasses.dataclass
@@ -100,8 +100,9 @@ class Counts:
         #: Discounted types of each start, by class, at the rate of both classes; and of both together.
         self.start = (np.maximum(self.stem - DISCOUNT, 0) / self.total[:, None, None] * both).astype(np.float32)
         self.start_all = np.maximum(self.stem.sum(axis=0) - DISCOUNT, 0)
-        self.unigram = share(np.maximum(self.word - DISCOUNT, 0)).astype(np.float64)
+        self.unigram = share(np.maximum(self.word - DISCOUNT, 0)).astype(np.float32)
         self.free = DISCOUNT / both
+        del self.word, self.stem
         seen = np.maximum(self.context, 1.0)
         self.high = np.maximum(self.pair - DISCOUNT, 0) / seen[:, :, None]
         #: What discounting frees in each context, from both classes together.
@@ -145,10 +146,9 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataF
     return src.join(use, "doc_id").select("y", part.alias("part"), "doc_id", "text")
 
 
-def _gather(found: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """Sums (masks: unions) by bucket; at most BUCKETS rows by word, STEM_BUCKETS by start and (1 / FREQUENT + 1)^2 by bigram reach the driver."""
-    aggs = [(F.bit_or(c) if c.startswith("m") else F.sum(c)).alias(c) for c in columns]
-    return found.groupBy("k").agg(*aggs).toPandas()
+def _gather(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Sums (masks: unions) by bucket; at most BUCKETS rows by word, STEM_BUCKETS by start and (1 / FREQUENT + 1)^2 by bigram."""
+    return found.groupBy("k").agg(*[(F.bit_or(c) if c.startswith("m") else F.sum(c)).alias(c) for c in columns])
 
 
 def count(train: DataFrame) -> Counts:
@@ -172,14 +172,15 @@ def count(train: DataFrame) -> Counts:
 
     src = train.select("y", F.col("text").cast("string").alias("text"))
     got = _gather(src.mapInArrow(words, "k long, n0 long, n1 long, m0 long, m1 long"), ["n0", "n1", "m0", "m1"])
+    got = got.select(F.col("k").cast("int"), (F.col("n0") + F.col("n1")).cast("float").alias("n"), *[distinct_estimate(f"m{c}", f"n{c}").cast("float").alias(f"t{c}") for c in (0, 1)]).toArrow()
     k = got["k"].to_numpy()
-    n = np.zeros((2, _ALL), np.float32)
+    total = np.zeros(_ALL, np.float32)
+    total[k] = got["n"].to_numpy()
+    total = total[:BUCKETS].astype(float)
     types = np.zeros((2, _ALL), np.float32)
     for c in (0, 1):
-        n[c][k] = got[f"n{c}"]
-        types[c][k] = distinct_estimate(got[f"m{c}"].to_numpy().astype(np.int64).view(np.uint64), got[f"n{c}"].to_numpy().astype(float))
-    del got
-    total = n[:, :BUCKETS].sum(axis=0)
+        types[c][k] = got[f"t{c}"].to_numpy()
+    del got, k
     often = np.nonzero(total >= max(2.0, FREQUENT * total.sum()))[0]
     place = np.zeros(BUCKETS, np.int16 if len(often) < 30_000 else np.int32)
     place[often] = np.arange(1, len(often) + 1)
@@ -196,10 +197,10 @@ def count(train: DataFrame) -> Counts:
         k = np.nonzero(p.sum(axis=0))[0]
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p[0][k]), pa.array(p[1][k])], names=["k", "p0", "p1"])
 
-    got = _gather(src.mapInArrow(pairs, "k long, p0 long, p1 long"), ["p0", "p1"])
+    got = _gather(src.mapInArrow(pairs, "k long, p0 long, p1 long"), ["p0", "p1"]).toArrow()
     pair = np.zeros((2, size * size), np.float32)
     for c in (0, 1):
-        pair[c][got["k"].to_numpy()] = got[f"p{c}"]
+        pair[c][got["k"].to_numpy()] = got[f"p{c}"].to_numpy()
     pair = pair.reshape(2, size, size)
     context = pair.sum(axis=2)
     # Column 0 gathers words that aren't frequent: the context's count holds them, no bigram of theirs is kept.
@@ -253,13 +254,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Counts from the learning part, curve from the calibration part."""
-    rows = learnable(docs, labels, label)
     k = WIDTH
     sums = labels.where(~held_out(F.col("doc_id"))).agg(F.count(F.when(F.col(label) == 1, 1)).alias("n1"), F.count(F.when(F.col(label) == 0, 1)).alias("n0")).first()
     prior = (sums["n1"] + 1) / (sums["n1"] + sums["n0"] + 2)
     flat = Model(None, np.zeros(k), np.ones(k), np.append(np.zeros(k), np.log(prior / (1 - prior))))
     if not sums["n1"] or not sums["n0"]:
         return flat
+    rows = learnable(docs, labels, label)
     counts = docs.sparkSession.sparkContext.broadcast(count(rows.where("part <> 3")))
     sample = rows.where("part = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("y", "text")
     seen = measure(sample, counts).toPandas()
