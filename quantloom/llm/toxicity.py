@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import held_out, materialize, texts
 
 BUCKETS = 1 << 20
 #: Letters of the word starts that a word backs off to, the last first.
@@ -143,7 +143,7 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataF
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
     src = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.join(use, "doc_id").select("y", part.alias("part"), "doc_id", "text")
+    return src.join(use.hint("shuffle_hash"), "doc_id").select("y", part.alias("part"), "doc_id", "text")
 
 
 def _gather(found: DataFrame, columns: list[str]) -> DataFrame:
@@ -260,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     flat = Model(None, np.zeros(k), np.ones(k), np.append(np.zeros(k), np.log(prior / (1 - prior))))
     if not sums["n1"] or not sums["n0"]:
         return flat
-    rows = learnable(docs, labels, label)
+    # Texts are shuffled once, to meet their labels; every further pass reads the table of labelled texts.
+    rows = materialize(learnable(docs, labels, label), "labelled")
     counts = docs.sparkSession.sparkContext.broadcast(count(rows.where("part <> 3")))
     sample = rows.where("part = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("y", "text")
     seen = measure(sample, counts).toPandas()
