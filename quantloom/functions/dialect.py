@@ -14,11 +14,29 @@ class Dialect:
     position: str
     greatest_of: str
     days: str  # whole days from {a} to {b}
-    minutes: str  # seconds of a day that a timestamp has passed
-
-
-SPARK = Dialect("STRING", "collect_list", "size", "filter({list}, {var} -> {cond})", "array_position", "array_max", "datediff({b}, {a})", "(hour({a}) * 3600 + minute({a}) * 60 + second({a}))")
-DUCKDB = Dialect("VARCHAR", "list", "len", "list_filter({list}, lambda {var} : {cond})", "list_position", "list_max", "date_diff('day', {a}, {b})", "(hour({a}) * 3600 + minute({a}) * 60 + second({a}))")
+    seconds: str  # seconds of the day of a timestamp {a}
+    last_of: str  # value at the greatest key, which may be null
+    first_of: str
+    quantile: str  # exact quantile {q} of {x}, linear between values; an aggregate or window function
+    to_number: str  # double or null
+    json: str  # text of field {k} of a JSON text {x}
+    when: str  # timestamp of a date {a} and {s} seconds
+    split: str  # part {k} (from 1) of {x} split at {by}
+    explode_range: str  # rows of integers {a}..{b} as {as_}; a select item
+
+
+SPARK = Dialect(
+    string="STRING", collect="collect_list", size="size", keep="filter({list}, {var} -> {cond})", position="array_position", greatest_of="array_max",
+    days="datediff({b}, {a})", seconds="(hour({a}) * 3600 + minute({a}) * 60 + second({a}))", last_of="max_by", first_of="min_by", quantile="percentile({x}, {q})",
+    to_number="try_cast({x} as double)", json="get_json_object({x}, '$.{k}')", when="(cast({a} as timestamp) + make_interval(0, 0, 0, 0, 0, 0, {s}))", split="split_part({x}, '{by}', {k})",
+    explode_range="explode(sequence({a}, {b})) AS {as_}",
+)
+DUCKDB = Dialect(
+    string="VARCHAR", collect="list", size="len", keep="list_filter({list}, lambda {var} : {cond})", position="list_position", greatest_of="list_max",
+    days="date_diff('day', {a}, {b})", seconds="(hour({a}) * 3600 + minute({a}) * 60 + second({a}))", last_of="arg_max_null", first_of="arg_min_null", quantile="quantile_cont({x}, {q})",
+    to_number="try_cast({x} as double)", json="json_extract_string({x}, '$.{k}')", when="(cast({a} as timestamp) + to_seconds({s}))", split="split_part({x}, '{by}', {k})",
+    explode_range="unnest(generate_series({a}, {b})) AS {as_}",
+)
 
 
 def num(v: float) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.functions.alphas import ALPHAS, Columns
 from quantloom.functions.dialect import DUCKDB, SPARK, Dialect
+from quantloom.functions.grouped import Grouped
+from quantloom.functions.intraday import CLASSIC, MODES, T1430, ZERO, Book, ai_factory_wave80_intraday_v1
 from quantloom.functions.series import Series
 from quantloom.sources.panel import panel_sql
 
@@ -19,6 +21,21 @@ def alpha_sql(d: Dialect, names: Iterable[str], panel: str, params: dict[str, di
     return s.query(panel, {n: ALPHAS[n](s, c, **(params or {}).get(n, {})) for n in names})
 
 
+def grouped_sql(d: Dialect, names: Iterable[str], panel: str, params: dict[str, dict] | None = None) -> str:
+    """One query for several group factors: a single GROUP BY over the panel."""
+    g = Grouped(d)
+    b = Book(g)
+    every = CLASSIC | T1430
+    return g.query(panel, {n: every[n](g, b, **(params or {}).get(n, {})) for n in names}, ZERO)
+
+
+def composite_sql(d: Dialect, panel: str, **params) -> str:
+    """All modes of the parameterised composite in one query."""
+    g = Grouped(d)
+    b = Book(g)
+    return g.query(panel, {f"wave80_{m}": ai_factory_wave80_intraday_v1(g, b, mode=m, **params) for m in MODES}, set())
+
+
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     """Temporary views of parquet tables, by their names."""
     for t in tables:
@@ -39,9 +56,22 @@ def _run(sql: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def grouped_groups() -> dict[str, list[str]]:
+    """Group factors in the sets that are queried together."""
+    a, b = list(CLASSIC), list(T1430)
+    return {"factors_classic_1": a[:20], "factors_classic_2": a[20:], "factors_t1430_1": b[:30], "factors_t1430_2": b[30:58], "factors_t1430_3": b[58:]}
+
+
+def _sql(d: Dialect) -> dict[str, str]:
+    panel = panel_sql(d)
+    out = {k: alpha_sql(d, v, panel) for k, v in alpha_groups().items()}
+    out |= {k: grouped_sql(d, v, panel) for k, v in grouped_groups().items()}
+    return out | {"factors_composite": composite_sql(d, panel), "factors_composite_scaled": composite_sql(d, panel, level=3, window_minutes=60, power=0.5, scale=10.0, sign_=-1.0)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _run(alpha_sql(SPARK, v, panel_sql(SPARK)), "lineitem") for k, v in alpha_groups().items()}
+    return {k: _run(v, "lineitem") for k, v in _sql(SPARK).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: alpha_sql(DUCKDB, v, panel_sql(DUCKDB)) for k, v in alpha_groups().items()}
+    return _sql(DUCKDB)
