@@ -263,10 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     # Texts are shuffled once, to meet their labels; every further pass reads the table of labelled texts.
     rows = materialize(learnable(docs, labels, label), "labelled")
     counts = docs.sparkSession.sparkContext.broadcast(count(rows.where("part <> 3")))
-    sample = rows.where("part = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("y", "text")
-    seen = measure(sample, counts).toPandas()
+    # Measured where the texts lie; only statistics are ordered and limited.
+    sample = lambda part: measure(part.select("y", "doc_id", "text"), counts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).toPandas()
+    seen = sample(rows.where("part = 3"))
     if len(seen) < 4 or seen["y"].nunique() < 2:
-        seen = measure(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("y", "text"), counts).toPandas()
+        seen = sample(rows)
     if not len(seen):
         return flat
     x, y = np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float)
