@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import factors
+from quantloom.plans import factors, market
 
-_PARTS = [factors]
+_PARTS = [factors, market]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
