@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import factors, market
+from quantloom.plans import factors, market, special
 
-_PARTS = [factors, market]
+_PARTS = [factors, market, special]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
