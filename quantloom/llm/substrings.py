@@ -9,8 +9,8 @@ only where that can matter, and only as deep as LENGTH:
 2. Contexts are counted by (anchor hash, digest). A context that stands twice is repeated whole. An anchor
    hash with one context that stands once holds no repeat. What is left are anchor hashes with several
    different contexts: these are the initial q-gram buckets.
-3. Within slices of whole buckets, suffixes of the contexts get bucket numbers by their first 8 bytes, which
-   are refined by sorting on (own bucket, bucket of a later offset), at depths 8, 16, ... 256 and LENGTH.
+3. Within slices of whole buckets, suffixes of the contexts get bucket numbers by their q-gram, which are
+   refined by sorting on (own bucket, bucket of a later offset), at depths 64, 128, 256 and LENGTH.
    Every refinement uses the numbers that the last one gave; suffixes alone in a bucket take no further part.
    Windows that share their last bucket are repeated.
 4. Buckets of over HOT different contexts aren't gathered: their windows are counted by 128-bit digests with
@@ -165,12 +165,21 @@ def refine(data: np.ndarray, end: np.ndarray, want: np.ndarray, length: int = LE
     data: contexts end to end; end: by position, where its context ends; want: window starts, in order.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    # Initial buckets: the first 8 bytes as a number, then their rank.
-    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view("<u8").reshape(-1)
-    bucket = np.unique(first, return_inverse=True)[1].astype(np.int64)
-    depth = 8
-    # Later depths: 16, 32, ... while they fit, then LENGTH by an overlapping last step.
+    # Initial buckets: q-grams by their hashes, of the greatest q that is a power of two and under length, GRAM at most.
+    depth = 1
+    while depth * 2 <= min(GRAM, length - 1):
+        depth *= 2
+    if n < length:
+        return np.zeros(len(want), bool)
+    gram = gram_hashes(data, depth)
+    order = np.argsort(gram)
+    ranked = gram[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    bucket = np.zeros(n, np.int64)
+    bucket[order] = np.cumsum(new) - 1
+    # The last places start no whole q-gram, and no window.
+    bucket[len(gram) :] = bucket.max() + 1 + np.arange(n - len(gram))
     while depth < length:
         step = min(depth, length - depth)
         last = depth + step >= length
@@ -180,7 +189,7 @@ def refine(data: np.ndarray, end: np.ndarray, want: np.ndarray, length: int = LE
         size = np.bincount(bucket)
         live = at[(size[bucket[at]] > 1) & (size[bucket[at + step]] > 1)]
         key = bucket[live] * np.int64(bucket.max() + 1) + bucket[live + step]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.ones(len(live), bool)
         new[1:] = ranked[1:] != ranked[:-1]
@@ -195,9 +204,11 @@ def refine(data: np.ndarray, end: np.ndarray, want: np.ndarray, length: int = LE
         # Numbers by refined bucket for those sorted, fresh ones for all others.
         fresh = np.arange(n, dtype=np.int64) + len(live)
         fresh[live[order]] = number
-        bucket = np.unique(fresh, return_inverse=True)[1] if len(live) < n else fresh
+        there = np.zeros(n + len(live), bool)
+        there[fresh] = True
+        bucket = (np.cumsum(there) - 1)[fresh]
         depth += step
-    raise ValueError("length must be over 8")
+    raise ValueError("length must be over 1")
 
 
 def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
