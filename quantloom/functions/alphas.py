@@ -305,9 +305,9 @@ def alpha046_close_delay_trend_v1(s, c, delay_window_long=10, delay_window_short
 
 @alpha
 def alpha047_inverse_close_volume_v1(s, c, adv_window=10, sum_window=5, delay_window=5, power=5):
-    level = s.rank(1 / (c.last + EPS)) * c.vol / (c.adv(adv_window) + EPS)
-    reach = c.high * s.rank(c.high - c.last) / (s.mean(c.high, sum_window) + EPS)
-    return level * reach - s.rank(c.vw - s.lag(c.vw, delay_window))
+    level = s.rank_last(1 / (c.last + EPS)) * c.vol / (c.adv(adv_window) + EPS)
+    reach = c.high * s.rank_last(c.high - c.last) / (s.mean(c.high, sum_window) + EPS)
+    return level * reach - s.rank_last(c.vw - s.lag(c.vw, delay_window))
 
 
 @alpha
@@ -329,7 +329,7 @@ def alpha051_close_delay_threshold_v2_v1(s, c, delay_window_long=10, delay_windo
 def alpha052_low_momentum_volume_v1(s, c, ts_min_window=5, delay_window=5, sum_window_long=60, sum_window_short=20, ts_rank_window=5):
     m = s.min(c.low, ts_min_window)
     gain = join("round({0}, 12)", (s.sum(c.r, sum_window_long) - s.sum(c.r, sum_window_short)) / max(1, sum_window_long - sum_window_short))
-    return (s.lag(m, delay_window) - m) * s.rank(gain) * s.ts_rank_last(c.vol, ts_rank_window)
+    return (s.lag(m, delay_window) - m) * s.rank_last(gain) * s.ts_rank_last(c.vol, ts_rank_window)
 
 
 @alpha
@@ -368,20 +368,20 @@ def _below(a: X, b: X, yes: float) -> X:
 
 @alpha
 def alpha062_vwap_open_rank_compare_v1(s, c, adv_window=20, sum_window=22, corr_window=10):
-    tied = s.rank(s.corr(c.vw, s.sum(c.adv(adv_window), sum_window), corr_window))
+    tied = s.rank_last(s.corr(c.vw, s.sum(c.adv(adv_window), sum_window), corr_window))
     compare = where(s.rank(c.mid1) * 2 < s.rank(c.mid) + s.rank(c.high), 1, 0)
-    return _below(tied, s.rank(compare), -1)
+    return _below(tied, s.rank_last(compare), -1)
 
 
 @alpha
 def alpha065_open_vwap_min_signal_v1(s, c, weight=0.008, adv_window=30, sum_window=9, corr_window=6, ts_min_window=14):
-    tied = s.rank(s.corr(c.mid1 * weight + c.vw * (1 - weight), s.sum(c.adv(adv_window), sum_window), corr_window))
-    return _below(tied, s.rank(c.mid1 - s.min(c.mid1, ts_min_window)), -1)
+    tied = s.rank_last(s.corr(c.mid1 * weight + c.vw * (1 - weight), s.sum(c.adv(adv_window), sum_window), corr_window))
+    return _below(tied, s.rank_last(c.mid1 - s.min(c.mid1, ts_min_window)), -1)
 
 
 @alpha
 def alpha066_vwap_low_decay_v1(s, c, delta_window=4, decay_window_1=7, weight=0.966, decay_window_2=11, ts_rank_window=7):
-    a = s.rank(s.decay(s.diff(c.vw, delta_window), decay_window_1))
+    a = s.rank_last(s.decay(s.diff(c.vw, delta_window), decay_window_1))
     b = s.decay((c.low * weight + c.low * (1 - weight) - c.vw) / (c.mid1 - c.mid + EPS), decay_window_2)
     return -(fill(a) + s.ts_rank_last(b, ts_rank_window))
 
@@ -389,45 +389,45 @@ def alpha066_vwap_low_decay_v1(s, c, delta_window=4, decay_window_1=7, weight=0.
 @alpha
 def alpha068_high_adv_rank_signal_v1(s, c, adv_window=15, corr_window=9, ts_rank_window=14, weight=0.518, delta_window=1):
     tied = s.corr(s.rank(c.high), s.rank(c.adv(adv_window)), corr_window)
-    return _below(s.rank(s.ts_rank(tied, ts_rank_window)), s.rank(s.diff(c.last * weight + c.low * (1 - weight), delta_window)), -1)
+    return _below(s.rank_last(s.ts_rank(tied, ts_rank_window)), s.rank_last(s.diff(c.last * weight + c.low * (1 - weight), delta_window)), -1)
 
 
 @alpha
 def alpha072_vwap_volume_decay_ratio_v1(s, c, adv_window=20, corr_window_1=9, decay_window_1=10, ts_rank_window_1=4, ts_rank_window_2=19, corr_window_2=7, decay_window_2=3):
-    a = s.rank(s.decay(s.corr(c.mid, c.adv(adv_window), corr_window_1), decay_window_1))
-    b = s.rank(s.decay(s.corr(s.ts_rank(c.vw, ts_rank_window_1), s.ts_rank(c.vol, ts_rank_window_2), corr_window_2), decay_window_2))
+    a = s.rank_last(s.decay(s.corr(c.mid, c.adv(adv_window), corr_window_1), decay_window_1))
+    b = s.rank_last(s.decay(s.corr(s.ts_rank(c.vw, ts_rank_window_1), s.ts_rank(c.vol, ts_rank_window_2), corr_window_2), decay_window_2))
     return a / (b + EPS)
 
 
 @alpha
 def alpha073_vwap_open_decay_max_v1(s, c, delta_window_1=5, decay_window_1=3, weight=0.147, delta_window_2=2, decay_window_2=3, ts_rank_window=17):
     blend = c.mid1 * weight + c.low * (1 - weight)
-    a = s.rank(s.decay(s.diff(c.vw, delta_window_1), decay_window_1))
+    a = s.rank_last(s.decay(s.diff(c.vw, delta_window_1), decay_window_1))
     b = s.decay(-(s.diff(blend, delta_window_2) / (blend + EPS)), decay_window_2)
     return -greatest(fill(a), s.ts_rank_last(b, ts_rank_window))
 
 
 @alpha
 def alpha074_close_adv_rank_corr_v1(s, c, adv_window=20, sum_window=37, corr_window_1=15, weight=0.026, corr_window_2=11):
-    a = s.rank(s.corr(c.last, s.sum(c.adv(adv_window), sum_window), corr_window_1))
-    return _below(a, s.rank(s.corr(s.rank(c.high * weight + c.vw * (1 - weight)), s.rank(c.vol), corr_window_2)), -1)
+    a = s.rank_last(s.corr(c.last, s.sum(c.adv(adv_window), sum_window), corr_window_1))
+    return _below(a, s.rank_last(s.corr(s.rank(c.high * weight + c.vw * (1 - weight)), s.rank(c.vol), corr_window_2)), -1)
 
 
 @alpha
 def alpha075_vwap_volume_low_adv_corr_v1(s, c, corr_window_1=4, adv_window=30, corr_window_2=12):
-    return _below(s.rank(s.corr(c.vw, c.vol, corr_window_1)), s.rank(s.corr(s.rank(c.low), s.rank(c.adv(adv_window)), corr_window_2)), 1)
+    return _below(s.rank_last(s.corr(c.vw, c.vol, corr_window_1)), s.rank_last(s.corr(s.rank(c.low), s.rank(c.adv(adv_window)), corr_window_2)), 1)
 
 
 @alpha
 def alpha077_mid_price_adv_decay_min_v1(s, c, decay_window_1=10, adv_window=20, corr_window=3, decay_window_2=6):
-    a = s.rank(s.decay(c.mid - c.vw, decay_window_1))
-    b = s.rank(s.decay(s.corr(c.mid, c.adv(adv_window), corr_window), decay_window_2))
+    a = s.rank_last(s.decay(c.mid - c.vw, decay_window_1))
+    b = s.rank_last(s.decay(s.corr(c.mid, c.adv(adv_window), corr_window), decay_window_2))
     return least(fill(a), fill(b))
 
 
 @alpha
 def alpha078_low_vwap_adv_corr_v1(s, c, weight=0.352, sum_window_1=20, adv_window=20, sum_window_2=20, corr_window_1=7, corr_window_2=6):
     blend = s.sum(c.low * weight + c.vw * (1 - weight), sum_window_1)
-    a = s.rank(s.corr(blend, s.sum(c.adv(adv_window), sum_window_2), corr_window_1))
-    b = s.rank(s.corr(s.rank(c.vw), s.rank(c.vol), corr_window_2))
+    a = s.rank_last(s.corr(blend, s.sum(c.adv(adv_window), sum_window_2), corr_window_1))
+    b = s.rank_last(s.corr(s.rank(c.vw), s.rank(c.vol), corr_window_2))
     return power(a, b)

@@ -183,6 +183,12 @@ class Series:
         n = self._over(f"count({x.text})", x, "")
         return join(f"(case when {{0}} is not null then ({{1}} + ({{2}} - 1) * {num(0.5)}) / nullif({{3}}, 0) end)", x, r, same, n)
 
+    def rank_last(self, x: X) -> X:
+        """rank() of a group's last row alone: counts below and equal to it, without a sort by x."""
+        end = self._over(f"last_value({x.text})", x, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+        count = lambda op: self._over(f"sum(case when {x.text} {op} {end.text} then 1 else 0 end)", X("", 0, max(x.depth, end.depth)), "")
+        return join(f"(case when {{0}} is not null then ({{1}} + ({{2}} + 1) * {num(0.5)}) / nullif({{3}}, 0) end)", end, count("<"), count("="), self._over(f"count({x.text})", x, ""))
+
     def ts_rank(self, x: X, w: int) -> X:
         """Percentile rank of the current value among the last w."""
         items = self._over(f"{self.d.collect}({x.text})", x, self._rows(w))

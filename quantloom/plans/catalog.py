@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["factors_alpha_1"](spark, sf_dir)
+    return queries()["factors_classic_1"](spark, sf_dir)
