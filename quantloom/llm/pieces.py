@@ -68,9 +68,12 @@ class Pieces:
                 self.surface.append(p.encode().replace(MARK.encode(), b" "))
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces of this model run across words")
-        self.most = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        #: Ends of pieces: how far back a piece that ends at a place can start.
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.packed = {p: np.array([i], "<i4").tobytes() for p, i in self.ids.items()}
+        #: piece before ("" for none) -> piece -> whether the two stay apart.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.kept_pairs = 0
         self.known: dict[str, bytes] = {}
 
     def merge(self, s: str) -> list[str]:
@@ -100,56 +103,64 @@ class Pieces:
         return [p for p in part if p is not None]
 
     def _follows(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(before + piece) == [before, piece]
+        """Whether merging both alone leaves them whole; remembered up to a bound."""
+        if self.kept_pairs > 1_000_000:
+            self.pairs.clear()
+            self.kept_pairs = 0
+        ok = self.merge(before + piece) == ([before, piece] if before else [piece])
+        self.pairs.setdefault(before, {})[piece] = ok
+        self.kept_pairs += 1
         return ok
 
-    def _stands(self, piece: str) -> bool:
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merge(piece) == [piece]
-        return ok
+    def _bytes(self, part: str) -> bytes:
+        """Packed ids of a piece, or of the bytes of a character outside the model."""
+        got = self.packed.get(part)
+        return got if got is not None else np.array([self.byte[b] for b in part.encode()], "<i4").tobytes()
 
     def _pack(self, parts: Iterable[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode()]
-        return np.array(out, "<i4").tobytes()
+        return b"".join(map(self._bytes, parts))
 
     def learn(self, words: Iterable[str]) -> None:
         """Ids of marked words (a space for the mark) into memory: depth-first over their trie."""
         stack: list[str] = []  # stack[d]: the last piece of the first d+1 characters
         path = ""
-        ids = self.ids
+        ids, tails, pairs, packed, empty = self.ids, self.tails, self.pairs, self.packed, {}
         for raw in sorted(words):
             w = raw.replace(" ", MARK)
-            if len(w) > LONG or w.startswith(MARK + MARK):
+            size = len(w)
+            if size > LONG or w.startswith(MARK + MARK):
                 self.known[raw] = self._pack(self.merge(w))
                 continue
-            d, top = 0, min(len(path), len(w))
+            d, top = 0, min(len(path), size)
             while d < top and path[d] == w[d]:
                 d += 1
             del stack[d:]
-            for i in range(d, len(w)):
-                for start in range(max(0, i + 1 - self.most), i + 1):
-                    p = w[start : i + 1]
-                    if start == i or p in ids:
-                        if self._stands(p) if start == 0 else self._follows(stack[start - 1], p):
-                            stack.append(p)
-                            break
+            for i in range(d, size):
+                # Pieces that end here, found by growing backwards; the longest are tried first.
+                end, start, found = i + 1, i, [w[i]]
+                while start:
+                    start -= 1
+                    p = w[start:end]
+                    if p not in tails:
+                        break
+                    if p in ids:
+                        found.append(p)
+                for p in reversed(found):
+                    before = stack[i - len(p)] if len(p) <= i else ""
+                    ok = pairs.get(before, empty).get(p)
+                    if ok or (ok is None and self._follows(before, p)):
+                        stack.append(p)
+                        break
                 else:
                     raise AssertionError(f"no piece ends at {i} of {w!r}")
             path = w
-            parts, i = [], len(w)
+            parts, i = [], size
             while i:
-                parts.append(stack[i - 1])
-                i -= len(stack[i - 1])
-            self.known[raw] = self._pack(reversed(parts))
+                p = stack[i - 1]
+                parts.append(packed.get(p) or self._bytes(p))
+                i -= len(p)
+            parts.reverse()
+            self.known[raw] = b"".join(parts)
 
     @staticmethod
     def cut(text: str) -> list[str]:
