@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import free, texts
 
+#: Columns that matches() adds.
+MATCH = ("_n_words", "_starts", "_lengths", "_items", "_offsets")
 #: Words of test items that one pass broadcasts at most (an item is never cut).
 BLOCK = 4_000_000
 #: Words of documents that one suffix array holds, a longer document alone.
@@ -132,7 +134,9 @@ def matches(docs: DataFrame, items: Items) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
     names = docs.columns
-    schema = docs.select("*", F.lit(0).cast("long").alias("_n_words"), *[F.array().cast("array<long>").alias(c) for c in ("_starts", "_lengths", "_items", "_offsets")]).schema
+    if free(docs, *MATCH) != list(MATCH):
+        raise ValueError(f"columns named {', '.join(MATCH)} must be renamed first")
+    schema = docs.select("*", F.lit(0).cast("long").alias("_n_words"), *[F.array().cast("array<long>").alias(c) for c in MATCH[1:]]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -146,7 +150,7 @@ def matches(docs: DataFrame, items: Items) -> DataFrame:
             offsets = pa.array(np.searchsorted(d, np.arange(len(docs_) + 1)), pa.int32())
             cols = [p - first[d], n, None, t - start[t] if len(t) else t]
             arrays = [pa.array(x, pa.int64()) if x is not None else pa.array([own.item[i] for i in t.tolist()], pa.int64()) for x in cols]
-            return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array([len(x) for x in docs_], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in arrays]], names=[*names, "_n_words", "_starts", "_lengths", "_items", "_offsets"])
+            return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array([len(x) for x in docs_], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in arrays]], names=[*names, *MATCH])
 
         for b in batches:
             done, part, total = 0, [], 0
@@ -210,19 +214,18 @@ def report(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
 
 def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
-    out = docs
+    # Columns go by number meanwhile, so that none clashes with those that are added.
+    number = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    out = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(n) for c, n in number.items()])
+    out = out.withColumn("spans", F.lit(None).cast("array<struct<_starts:bigint,_lengths:bigint>>"))
     for items in blocks(bench, window):
-        names = out.columns
-        marked = matches(out.withColumn("text", F.col("text").cast("string")), items)
+        marked = matches(out.drop("total"), items)
         # Spans of one block stay with the row; blocks are merged before the rule is applied.
-        if "_spans" in names:
-            marked = marked.withColumn("_spans", F.concat("_spans", F.arrays_zip("_starts", "_lengths")))
-        else:
-            marked = marked.withColumn("_spans", F.arrays_zip("_starts", "_lengths"))
-        out = marked.withColumn("_total", F.col("_n_words")).select(*[c for c in names if c not in ("_spans", "_total")], "_spans", "_total")
+        zipped = F.arrays_zip("_starts", "_lengths")
+        out = marked.withColumn("spans", F.when(F.col("spans").isNull(), zipped).otherwise(F.concat("spans", zipped))).withColumnRenamed("_n_words", "total").drop(*MATCH)
 
     # Words covered: fold over spans ordered by start, carrying (end so far, words so far).
     zero = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, s: F.struct(F.greatest(acc["e"], s["_starts"] + s["_lengths"]).alias("e"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["_starts"] + s["_lengths"] - F.greatest(acc["e"], s["_starts"]))).alias("n"))
-    hit = F.aggregate(F.array_sort("_spans"), zero, step, lambda a: a["n"])
-    return out.withColumn("_hit", hit).where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_total")))).select(*docs.columns)
+    out = out.withColumn("hit", F.aggregate(F.array_sort("spans"), zero, step, lambda a: a["n"]))
+    return out.where(~((F.col("hit") > 0) & (20 * F.col("hit") >= F.col("total")))).select(*[F.col(n).alias(c) for c, n in number.items()])

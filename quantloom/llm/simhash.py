@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, materialize, texts
+from .common import LOWER, components, free, materialize, texts
 
 #: Fingerprints a tile aims at. Twice as many are held at once in a comparison.
 TILE = 4096
@@ -160,8 +160,9 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     Rows that repeat an id are one document. A row without an id is known by its text and stays only where
     no row of its group has an id.
     """
+    (key,) = free(docs, "_key")
     far = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), far))
-    groups = near_duplicates(keyed, "_key", "text", radius=radius)
-    stay = groups.where("id = component").select(F.col("id").alias("_key")).distinct()
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), far))
+    groups = near_duplicates(keyed, key, "text", radius=radius)
+    stay = groups.where("id = component").select(F.col("id").alias(key)).distinct()
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -5,7 +5,7 @@ import hashlib
 import sentencepiece
 
 import corpus_pipeline
-from quantloom.llm import pieces, quality, secrets
+from quantloom.llm import common, pieces, quality, secrets
 from tests.llm.test_operators import brute_contamination, brute_fingerprint, brute_groups
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +40,13 @@ def test_stages_keep_columns_and_take_any_input(spark):
             out = stage(spark, given, FOLDER)
             assert out.columns == docs.columns, name
             assert out.count() <= given.count()
+
+
+def test_clashing_columns_and_release(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    odd = docs.selectExpr("*", *[f"1 as {c}" for c in ("_key", "id", "fp", "component", "_starts", "_n_words", "spans", "hit", "total", "c0", "score", "x", "y", "label")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns and out.count() <= 20, name
+    assert common.free(odd, "_KEY", "new") == ["__KEY", "new"]
+    assert common.release(spark) > 0 and common.release(spark) == 0
