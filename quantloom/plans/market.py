@@ -41,7 +41,7 @@ def daily(d: Dialect) -> str:
     {_r4("sum(px)")} AS amount, cast(count(*) as double) AS volume, {_r4("avg(case when k % 5 > 0 then px / (1 + k % 7) end)")} AS f1, {_r4("avg(px * (k % 11))")} AS f2, {_r4("min(px)")} AS f3
   FROM (SELECT cast(date_trunc('month', o_orderdate) as date) AS trade_date, concat('C', {_text(d, "o_custkey % 50")}) AS code, o_totalprice AS px, o_orderkey AS k FROM orders) t
   GROUP BY trade_date, code),
-calendar AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS day_idx FROM (SELECT DISTINCT trade_date FROM daily) t),
+calendar AS (SELECT trade_date, cast(row_number() OVER (ORDER BY trade_date) as bigint) AS day_idx FROM (SELECT DISTINCT trade_date FROM daily) t),
 market AS (
   SELECT d.*, c.day_idx, lag(close) OVER (PARTITION BY code ORDER BY d.trade_date) AS prev_close
   FROM daily d JOIN calendar c ON d.trade_date = c.trade_date),
@@ -583,7 +583,7 @@ def live_backfill_days(d):
 def array_factor_sequence(d):
     """The last six days of a factor by code, with slope and coverage, from a frame of rows."""
     f = "PARTITION BY code ORDER BY day_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW"
-    return with_daily(d, f", s AS (SELECT trade_date, code, f2, {d.collect}(f2) OVER ({f}) AS seq, covar_pop(cast(f2 as double), cast(day_idx as double)) OVER ({f}) AS cv, var_pop(cast(day_idx as double)) OVER ({f}) AS vr, f2 - lag(f2) OVER (PARTITION BY code ORDER BY day_idx) AS diff1 FROM market WHERE f2 IS NOT NULL) SELECT {_text(d, 'trade_date')} AS trade_date, code, {d.size}(seq) AS length, seq[{0 if d is SPARK else 1}] AS oldest, {rounded('cv / nullif(vr, 0)')} AS slope, {rounded('diff1')} AS diff1 FROM s WHERE {d.size}(seq) = 6")
+    return with_daily(d, f", s AS (SELECT trade_date, code, f2, {d.collect}(f2) OVER ({f}) AS seq, covar_pop(cast(f2 as double), cast(day_idx as double)) OVER ({f}) AS cv, var_pop(cast(day_idx as double)) OVER ({f}) AS vr, f2 - lag(f2) OVER (PARTITION BY code ORDER BY day_idx) AS diff1 FROM market WHERE f2 IS NOT NULL) SELECT {_text(d, 'trade_date')} AS trade_date, code, cast({d.size}(seq) as bigint) AS length, seq[{0 if d is SPARK else 1}] AS oldest, {rounded('cv / nullif(vr, 0)')} AS slope, {rounded('diff1')} AS diff1 FROM s WHERE {d.size}(seq) = 6")
 
 
 @query("lineitem")
