@@ -143,6 +143,19 @@ def normal_weight(w: str, by: str) -> str:
     return f"(case when {total} > 0 then {v} / {total} else {num(1.0)} / count(*) OVER (PARTITION BY {by}) end)"
 
 
+def price_bound(value: object) -> float:
+    """A bound from configuration: empty and null texts are 0, which is off."""
+    return 0.0 if value is None or str(value).strip().lower() in ("", "none", "null") else float(str(value))
+
+
+def first_present(columns: list[str], candidates: list[str]) -> str:
+    """The first candidate that is a column."""
+    for c in candidates:
+        if c in columns:
+            return c
+    raise ValueError(f"none of {', '.join(candidates)} is there")
+
+
 # --- series of daily returns, ordered by day
 
 

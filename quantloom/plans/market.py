@@ -602,6 +602,56 @@ def array_book_tensor(d):
     return f"WITH panel AS ({panel_sql(d)}), tensors AS (SELECT dt, code, {pack} AS t FROM panel WHERE n >= 8 AND seq > n - 8 GROUP BY dt, code) SELECT {_text(d, 'dt')} AS dt, code, cast({at[0]} as bigint) AS steps, {at[1]} AS last_best_ask, {at[2]} AS first_deep_bid_volume, {rounded(at[3])} AS top_ask_notional FROM tensors"
 
 
+@query("lineitem")
+def factors_on_bars(d):
+    """Factors of rebuilt bars of three ticks instead of raw ticks."""
+    from quantloom.plans.factors import alpha_sql
+    from quantloom.sources.panel import bars_sql, panel_sql
+
+    return alpha_sql(d, ["alpha001_signed_power_v1", "alpha006_corr_open_volume_neg_v1", "alpha012_volume_close_reversal_v1", "alpha023_high_momentum_v1", "alpha041_geometric_mean_vwap_v1"], bars_sql(d, panel_sql(d), 3))
+
+
+@query("events")
+def agg_signal_window_post(d):
+    """Signal price before a window, price and flow within it, and the price after: one conditional aggregate."""
+    at = lambda cond: f"max_by(price, case when {cond} then event_id end)"
+    return f"WITH {_ticks(d)} SELECT {_text(d, 'day')} AS day, code, {at('sec < 52200')} AS signal_price, {rounded('avg(case when sec > 52200 and sec <= 61200 then price end)')} AS window_price, cast(sum(case when sec > 52200 and sec <= 61200 then 1 else 0 end) as bigint) AS window_ticks, {at('sec <= 61200')} AS post_price FROM ticks GROUP BY day, code HAVING sum(case when sec < 52200 then 1 else 0 end) > 0"
+
+
+@query("orders")
+def portfolio_cost_label(d):
+    """Change from one day's cost to the next: missing unless the first is positive."""
+    return with_daily(d, f" SELECT {_text(d, 'm.trade_date')} AS trade_date, m.code, {rounded('case when m.close > 0 then (n.close - m.close) / m.close end')} AS y FROM market m JOIN market n ON n.code = m.code AND n.day_idx = m.day_idx + 1")
+
+
+@query("orders")
+def portfolio_live_summary(d):
+    """Last twenty days against the pool: values, means, and volatility with population deviation."""
+    return with_daily(d, f"""{_returns(d)}, pool AS (SELECT m.day_idx, {_r4("avg(n.close / m.close - 1)")} AS b FROM market m JOIN market n ON n.code = m.code AND n.day_idx = m.day_idx + 1 GROUP BY m.day_idx),
+j AS (SELECT r.day_idx, r.r, p.b, row_number() OVER (ORDER BY r.day_idx DESC) AS back FROM returns r JOIN pool p ON p.day_idx = r.day_idx)
+SELECT count(*) AS days, {rounded("exp(sum(ln(1 + r))) - 1")} AS strategy, {rounded("exp(sum(ln(1 + b))) - 1")} AS benchmark, {rounded("avg(r - b)")} AS mean_excess, {rounded(f"stddev_pop(r) * sqrt({num(252.0)})")} AS volatility FROM j WHERE back <= 20""")
+
+
+@query("orders")
+def portfolio_bin_backtest(d):
+    """Compounded return, share of winning days and rows of every factor bin."""
+    return with_daily(d, f"{_binned(d)}, m AS (SELECT bin, day_idx, {_r4('avg(y)')} / 10 AS r, count(*) AS n FROM binned WHERE bin IS NOT NULL GROUP BY bin, day_idx) SELECT bin, count(*) AS days, cast(sum(n) as bigint) AS rows_n, {rounded('exp(sum(ln(1 + r))) - 1')} AS total, {rounded('avg(case when r > 0 then cast(1 as double) else cast(0 as double) end)')} AS win_rate FROM m GROUP BY bin")
+
+
+@query("orders")
+def screen_walk_forward(d):
+    """Checks on the returns of a selection: mean, ratio, drawdown, days; active, watched or rejected."""
+    o = "ORDER BY day_idx"
+    return with_daily(d, f"{_returns(d)}, v AS (SELECT *, {E.growth('r', o)} AS nav FROM returns), w AS (SELECT *, nav / max(nav) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM v), a AS (SELECT count(*) AS days, {_r4('avg(r)')} AS mean, {_r4('avg(r) / nullif(stddev_samp(r), 0)')} AS ratio, {_r4('min(dd)')} AS dd FROM w) SELECT days, mean, ratio, dd, days >= 24 AS days_ok, mean > 0 AS mean_ok, ratio > 0.1 AS ratio_ok, dd > -0.5 AS dd_ok, case when days >= 24 and mean > 0 and ratio > 0.1 and dd > -0.5 then 'active' when days >= 24 and ratio > 0.1 then 'watch_low_abs_ret' else 'reject' end AS verdict FROM a")
+
+
+@query("orders")
+def agg_importance_mean(d):
+    """Mean importance of features over fitted states, best first."""
+    one = lambda c: f"SELECT '{c}' AS factor, day_idx, abs(covar_pop({c}, y)) / nullif(stddev_pop({c}) * stddev_pop(y), 0) AS importance FROM labelled WHERE {c} IS NOT NULL AND y IS NOT NULL GROUP BY day_idx"
+    return with_daily(d, f", states AS ({one('f1')} UNION ALL {one('f2')} UNION ALL {one('f3')}), m AS (SELECT factor, count(*) AS states, {_r4('avg(importance)')} AS importance FROM states GROUP BY factor) SELECT factor, states, importance, cast(row_number() OVER (ORDER BY importance DESC, factor) as bigint) AS place FROM m")
+
+
 def _run(tables: tuple[str, ...], sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, *tables)

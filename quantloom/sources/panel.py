@@ -45,6 +45,29 @@ FROM (
 ) booked"""
 
 
+#: Columns whose panel values are cumulative and become flows of a bar.
+FLOWS = ("volume", "amount", "num_trades")
+
+
+def bars_sql(d: Dialect, panel: str, points: int) -> str:
+    """A panel of bars of so many ticks: prices rebuilt, flows from cumulative differences with resets, other columns last."""
+    w = "PARTITION BY dt, code ORDER BY seq"
+    bar = f"cast(floor((seq - 1) / {int(points)}) as bigint)"
+    step = ", ".join(f"{c} - lag({c}) OVER ({w}) AS d_{c}" for c in FLOWS)
+    flow = ", ".join(f"sum(case when d_{c} >= 0 then d_{c} else {c} end) AS {c}" for c in FLOWS)
+    carried = [f"{side}_{kind}{k}" for k in range(1, LEVELS + 1) for side in ("bid", "ask") for kind in ("price", "volume")]
+    carry = ", ".join(f"max_by({c}, seq) AS {c}" for c in ("sec", *carried))
+    return f"""
+SELECT dt, code, bar + 1 AS seq, open, high, low, last, volume, amount, num_trades, sec, {", ".join(carried)},
+  coalesce(lag(last) OVER (PARTITION BY dt, code ORDER BY bar), first_value(pre) OVER (PARTITION BY dt, code ORDER BY bar)) AS prev_bar_close,
+  coalesce(lag(last) OVER (PARTITION BY dt, code ORDER BY bar), first_value(pre) OVER (PARTITION BY dt, code ORDER BY bar)) AS pre_close,
+  count(*) OVER (PARTITION BY dt, code) AS n, max(sec) OVER (PARTITION BY dt, code) AS end_sec, min(sec) OVER (PARTITION BY dt, code) AS start_sec
+FROM (
+  SELECT dt, code, bar, min_by(last, seq) AS open, max(last) AS high, min(last) AS low, max_by(last, seq) AS last, min_by(pre_close, seq) AS pre, {flow}, {carry}
+  FROM (SELECT *, {bar} AS bar, {step} FROM ({panel}) ticks) stepped GROUP BY dt, code, bar
+) bars"""
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a DataFrame."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("quantloom_tape")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from quantloom.functions.dialect import SPARK
 from quantloom.functions.series import Series
 from quantloom.operators import expressions as E
-from quantloom.operators import frames
+from quantloom.operators import frames, models
 from quantloom.plans import registry
 from quantloom.sources import tables
 from quantloom.sources.panel import panel
@@ -222,3 +222,18 @@ def test_available_now_remembers(spark, tmp_path):
     assert spark.read.parquet(out).count() == 57
 
 
+
+
+def test_models_and_strategies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame(pd.DataFrame({"day_idx": np.repeat(np.arange(10), 20), "a": x[:, 0], "b": x[:, 1], "y": x[:, 0]}))
+    for name, params in (("gbt", {"maxIter": 3}), ("linear", {}), ("elastic", {})):
+        out = models.rolling_fit(df, name, ["a", "b"], "y", 4, 3, **params).toPandas()
+        assert sorted(out["day_idx"].unique()) == [4, 5, 6, 7, 8, 9] and np.corrcoef(out["score"], out["y"])[0, 1] > 0.8
+    s = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0)], "day int, code string, score double")
+    assert models.select_signals("topk_turnover", s, k=1, by="day").count() == 1
+    assert models.select_signals("topk_turnover", None) is None
+    assert E.price_bound(" None ") == 0 and E.price_bound("2.5") == 2.5 and E.first_present(["x", "y"], ["z", "y"]) == "y"
+    with pytest.raises(ValueError):
+        E.first_present(["x"], ["z"])
