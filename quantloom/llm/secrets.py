@@ -35,7 +35,6 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api_key": 3.0, "access_key": 3.0, "private_key": 3.0, "credential": 2.5, "auth": 1.5, "bearer": 2.0, "salt": 1.0, "signature": 1.0, "key": 1.0}
 THRESHOLD = 4.0
 _PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|changeme|example|your.*|placeholder|none|null|true|false|todo|test|dummy|redacted)$")
-_LINE = re.compile(r"[^\n]*[=:][^\n]*")
 _TOKEN = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<mark>:=|=>|==|!=|<=|>=|=|:(?!//))|(?P<plus>\+(?![A-Za-z0-9/=]))|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*(?=["']?\s*(?::=|=>|=(?!=)|:(?!//)|\+\s|$|[;,)\s]))(?![+/]))|(?P<bare>[A-Za-z0-9_+/.=\-]{6,})|(?P<end>[;,{}()\[\]])""")
 
 
@@ -85,10 +84,14 @@ def lexed_findings(text: str) -> list[Finding]:
     #: What a name was given: (value, start, end) of each literal in it.
     known: dict[str, list[tuple[str, int, int]]] = {}
     out: dict[tuple[int, int], Finding] = {}
-    for line in _LINE.finditer(text):
-        tokens = [(m.lastgroup, m[0], m.start() + line.start(), m.end() + line.start()) for m in _TOKEN.finditer(line[0])]
+    after = 0
+    for line in text.split("\n"):
+        first, after = after, after + len(line) + 1
+        if "=" not in line and ":" not in line:
+            continue
+        tokens = [(m.lastgroup, m[0], m.start() + first, m.end() + first) for m in _TOKEN.finditer(line)]
         i = 0
-        while i + 2 < len(tokens) + 1 and i + 1 < len(tokens):
+        while i + 1 < len(tokens):
             kind, name, _, _ = tokens[i]
             if kind not in ("name", "string") or tokens[i + 1][0] != "mark" or tokens[i + 1][1] in ("==", "!=", "<=", ">="):
                 i += 1
