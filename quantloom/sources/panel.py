@@ -9,7 +9,8 @@ A panel may come from any other source that has these columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quantloom.functions.dialect import SPARK, Dialect
 
@@ -72,3 +73,25 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a DataFrame."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("quantloom_tape")
     return spark.sql(panel_sql(SPARK, "quantloom_tape"))
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """NaN and infinities of all floating columns as missing values."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c)
+    return df.select(*[value(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])
+
+
+def from_ticks(ticks: DataFrame, dt: str = "dt", code: str = "code", time: str = "trade_time", order: str | None = None) -> DataFrame:
+    """A panel from any tick table: last row by (dt, code, time), numbered in order of time, with the columns factors rely on.
+
+    ticks has last, pre_close, open, high, low, volume, amount, num_trades and book levels as far as the factors
+    that will be computed need them. order breaks ties of time (the greatest stays). One exchange, one sort.
+    """
+    df = canonical(ticks).withColumnsRenamed({dt: "dt", code: "code"})
+    newest = Window.partitionBy("dt", "code", time).orderBy(F.desc(order)) if order else Window.partitionBy("dt", "code", time).orderBy(F.lit(0))
+    df = df.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    by, every = Window.partitionBy("dt", "code").orderBy(time), Window.partitionBy("dt", "code")
+    df = df.withColumn("sec", (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("long")).withColumn("seq", F.row_number().over(by))
+    before = F.coalesce(F.lag("last").over(by), F.col("pre_close")) if "pre_close" in df.columns else F.lag("last").over(by)
+    return df.withColumns({"prev_bar_close": before, "n": F.count("*").over(every), "end_sec": F.max("sec").over(every), "start_sec": F.min("sec").over(every)})

@@ -15,7 +15,7 @@ from quantloom.operators import expressions as E
 from quantloom.operators import frames, models
 from quantloom.plans import registry
 from quantloom.sources import tables
-from quantloom.sources.panel import panel
+from quantloom.sources.panel import from_ticks, panel
 from quantloom.streaming import events as stream
 from tests.oracle import SMALL
 
@@ -237,3 +237,13 @@ def test_models_and_strategies(spark):
     assert E.price_bound(" None ") == 0 and E.price_bound("2.5") == 2.5 and E.first_present(["x", "y"], ["z", "y"]) == "y"
     with pytest.raises(ValueError):
         E.first_present(["x"], ["z"])
+
+
+def test_panel_from_ticks(spark):
+    at = lambda h, m: dt.datetime(2026, 1, 5, h, m)
+    data = [(DAY, "a", at(9, 30), 1, 10.0, 9.0, 5.0), (DAY, "a", at(9, 30), 2, 11.0, 9.0, 6.0), (DAY, "a", at(10, 5), 1, float("nan"), 9.0, 7.0), (DAY, "b", at(9, 31), 1, 3.0, None, 1.0)]
+    p = from_ticks(spark.createDataFrame(data, "dt date, code string, trade_time timestamp, id int, last double, pre_close double, volume double"), order="id")
+    got = rows(p.select("code", "seq", "last", "prev_bar_close", "n", "end_sec"), "code", "seq")
+    assert got == [("a", 1, 11.0, 9.0, 2, 36300), ("a", 2, None, 11.0, 2, 36300), ("b", 1, 3.0, None, 1, 34260)]
+    out = registry.compute(spark, [registry.FactorSpec("v", "volume_sum", {"window_minutes": 30}), registry.FactorSpec("r", "price_position")], p)
+    assert {r["code"]: (r["v"], r["r"]) for r in out.collect()} == {"a": (7.0, 0.0), "b": (1.0, 0.0)}
