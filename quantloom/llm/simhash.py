@@ -1,10 +1,11 @@
 """SimHash near-duplicate groups by tiled exact comparison.
 
-Each text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are laid out in tiles by
-the population counts of their four 16-bit quarters; a quarter's count moves by one at most for every bit
-that differs, so two tiles whose counts are further apart (summed over the quarters) than the radius hold
-no link and their pair is skipped. The pairs that remain are compared in full with numpy exclusive-or and
-bit counts. Each comparison returns a spanning forest of what it linked, never all pairs of a group.
+Each text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are cut into radius + 1 parts;
+two within the radius share at least one of them whole, so fingerprints are compared within groups that share
+a part. A group is a tile, or, where it is larger, many tiles by the population count of its other bits: a
+count moves by one at most for every bit that differs, so tile pairs whose population counts differ beyond
+the radius hold no link and are skipped. The tiles and pairs that remain are compared in full with numpy
+exclusive-or and bit counts. Each comparison returns a spanning forest of what it linked, never all pairs.
 
 Edge cases: null and empty texts (or texts of white space) have fingerprint zero and link like any other;
 repeated rows share a fingerprint and hence a group; an empty table gives an empty result; columns other
@@ -92,34 +93,29 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
 
 def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (column fp) exactly as all pairs within the radius do."""
-    quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))) for q in range(4)]
-    kind = quarter[0] + quarter[1] * 17 + quarter[2] * 289 + quarter[3] * 4913
-    base = distinct.select("fp", kind.cast("int").alias("kind"))
-    # At most 17^4 kinds, whatever the input: a bounded table.
-    sizes = materialize(base.groupBy("kind").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("n")), "kinds")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("chunk")
-    tiles = base.join(F.broadcast(sizes), "kind").select("kind", chunk, "fp").groupBy("kind", "chunk").agg(F.collect_list("fp").alias("fps"))
-    tiles = materialize(tiles, "tiles")
-    near = [
-        (d0, d1, d2, d3)
-        for d0 in range(-radius, radius + 1)
-        for d1 in range(-radius, radius + 1)
-        for d2 in range(-radius, radius + 1)
-        for d3 in range(-radius, radius + 1)
-        if abs(d0) + abs(d1) + abs(d2) + abs(d3) <= radius and (d3, d2, d1, d0) >= (0, 0, 0, 0)
-    ]
-    spread = sizes.select("kind", "n", F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in near])).alias("d"))
-    part = [F.floor(F.col("kind") / 17**i).cast("int") % 17 + F.col(f"d.d{i}") for i in range(4)]
-    inside = [p.between(0, 16) for p in part]
-    spread = spread.where(inside[0] & inside[1] & inside[2] & inside[3])
-    spread = spread.select("kind", "n", (part[0] + part[1] * 17 + part[2] * 289 + part[3] * 4913).cast("int").alias("kind2"))
-    other = sizes.select(F.col("kind").alias("kind2"), F.col("n").alias("n2"))
-    pairs = spread.join(F.broadcast(other), "kind2")
-    pairs = pairs.select("kind", "kind2", "n2", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    pairs = pairs.select("kind", "kind2", "chunk", F.explode(F.sequence(F.when(F.col("kind") == F.col("kind2"), F.col("chunk")).otherwise(0), F.col("n2") - 1)).alias("chunk2"))
-    right = tiles.select(F.col("kind").alias("kind2"), F.col("chunk").alias("chunk2"), F.col("fps").alias("fps2"))
-    work = pairs.join(tiles, ["kind", "chunk"]).join(right, ["kind2", "chunk2"])
-    work = work.select("fps", "fps2", ((F.col("kind") == F.col("kind2")) & (F.col("chunk") == F.col("chunk2"))).alias("same"))
+    at = [64 * i // (radius + 1) for i in range(radius + 2)]
+    word = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long")) for lo, hi in zip(at, at[1:])]
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), w.alias("word")) for i, w in enumerate(word)]))
+    base = distinct.select("fp", parts.alias("x")).select("fp", "x.part", "x.word", (F.bit_count("fp") - F.bit_count("x.word")).alias("rest"))
+    base = materialize(base, "parts")
+    # Groups over a tile are cut by the population count of their other bits, and each of these into chunks.
+    sizes = base.groupBy("part", "word", "rest").agg(F.count("*").alias("c"))
+    large = sizes.groupBy("part", "word").agg(F.sum("c").alias("total")).where(F.col("total") > tile).select("part", "word")
+    cut = materialize(sizes.join(large, ["part", "word"]).select("part", "word", "rest", F.ceil(F.col("c") / F.lit(tile)).cast("int").alias("n")), "cuts")
+    key = ["part", "word", "rest", "chunk"]
+    placed = base.join(cut, ["part", "word", "rest"], "left").select(
+        "part", "word", F.when(F.col("n").isNotNull(), F.col("rest")).otherwise(-1).alias("rest"), F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("n"))).otherwise(0).cast("int").alias("chunk"), "fp"
+    )
+    tiles = materialize(placed.groupBy(*key).agg(F.collect_list("fp").alias("fps")).where((F.size("fps") > 1) | (F.col("rest") >= 0)), "tiles")
+    own = tiles.where(F.size("fps") > 1).select("fps", F.array().cast("array<long>").alias("fps2"), F.lit(True).alias("same"))
+    # Pairs of tiles of one group: those whose population counts differ beyond the radius are left out.
+    near = cut.withColumn("gap", F.explode(F.array(*[F.lit(i) for i in range(radius + 1)]))).withColumn("rest2", F.col("rest") + F.col("gap"))
+    near = near.join(cut.select("part", "word", F.col("rest").alias("rest2"), F.col("n").alias("n2")), ["part", "word", "rest2"])
+    near = near.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    first = F.when(F.col("gap") == 0, F.col("chunk") + 1).otherwise(0)
+    near = near.where(first < F.col("n2")).withColumn("chunk2", F.explode(F.sequence(first, F.col("n2") - 1)))
+    right = tiles.select("part", "word", F.col("rest").alias("rest2"), F.col("chunk").alias("chunk2"), F.col("fps").alias("fps2"))
+    cross = near.join(tiles, key).join(right, ["part", "word", "rest2", "chunk2"]).select("fps", "fps2", F.lit(False).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +124,8 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
             lv, rv = left.values.to_numpy().view(np.uint64), rite.values.to_numpy().view(np.uint64)
             out_a, out_b = [], []
             for k, one in enumerate(same):
-                a, b = lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]]
+                a = lv[lo[k] : lo[k + 1]]
+                b = a if one else rv[ro[k] : ro[k + 1]]
                 if len(a) * len(b) <= 4096 and not (np.bitwise_count(a[:, None] ^ b[None, :]) <= radius).sum() > (len(a) if one else 0):
                     continue
                 node, root = _forest(a, b, radius, one)
@@ -138,7 +135,7 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return own.unionByName(cross).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 3, tile: int = TILE) -> DataFrame:
