@@ -33,7 +33,7 @@ MARK = "▁"
 #: Words longer than this are merged with a heap: their prefixes are rarely shared.
 LONG = 64
 #: Marked words kept between slices; beyond it the memory starts afresh.
-KEPT = 800_000
+KEPT = 500_000
 #: Bytes of text whose distinct words are sorted together.
 SLICE = 4_000_000
 _RUNS = re.compile(r" *[^ ]+| +")
