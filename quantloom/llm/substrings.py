@@ -326,9 +326,10 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     found = whole.unionByName(found.join(whole.select("h", "dg"), ["h", "dg"], "left_anti"))
     spans = every.join(found, ["h", "dg"]).select("u", F.transform("lo", lambda x: x + F.col("s")).alias("lo"), F.transform("hi", lambda x: x + F.col("s")).alias("hi"))
     spans = spans.groupBy("u").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
-    spans = materialize(spans, "spans")
-    rest = t.select("u", "doc_id", "n", "sha", "blob").join(spans, "u", "left")
-    return rest.join(one.where("copies > 1").select("sha", "copies"), "sha", "left").select("u", "doc_id", "n", "sha", "blob", F.coalesce("copies", F.lit(1)).alias("copies"), "lo", "hi")
+    # Copies and spans are put together by row first, so that the compressed texts move once more only.
+    again = t.where(F.col("n") >= length).select("u", "sha").join(one.where("copies > 1").select("sha", "copies"), "sha").select("u", "copies")
+    marks = materialize(again.join(spans, "u", "full"), "marks")
+    return t.select("u", "doc_id", "n", "sha", "blob").join(marks, "u", "left").select("u", "doc_id", "n", "sha", "blob", F.coalesce("copies", F.lit(1)).alias("copies"), "lo", "hi")
 
 
 _REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
