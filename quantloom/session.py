@@ -17,6 +17,8 @@ def get_session(app: str = "quantloom", cpus: int | None = None, shuffle: int |
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle or n))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # A day of ticks of one instrument stays in the window's memory buffer instead of a spillable sorter.
+        .config("spark.sql.windowExec.buffer.in.memory.threshold", "65536")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
