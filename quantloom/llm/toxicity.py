@@ -29,8 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize, texts
@@ -54,6 +55,8 @@ _WORD = re.compile(r"[^\W_]+")
 _FIRST = (0, *(BUCKETS + i * STEM_BUCKETS for i in range(len(STEMS))))
 _ALL = BUCKETS + len(STEMS) * STEM_BUCKETS
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose pairs a task holds before it sends them on.
+HELD = 500_000
 
 
 class Hasher:
@@ -63,22 +66,23 @@ class Hasher:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, data: bytes) -> np.ndarray:
-        """Rows (word bucket, a bucket for each of STEMS), first a row for the text's start."""
+        """Rows (word bucket, a bucket for each of STEMS, 64-bit digest of the word), first a row for the text's start."""
         if len(self.known) > 500_000:
             self.known.clear()
-        known, out = self.known, [(0,) * (1 + len(STEMS))]
+        known, out = self.known, [(0,) * (2 + len(STEMS))]
         for w in _WORD.findall(data.decode("utf-8", "replace").lower()):
             got = known.get(w)
             if got is None:
-                got = known[w] = (zlib.crc32(w.encode()) % (BUCKETS - 1) + 1, *(zlib.crc32(w[:k].encode()) % STEM_BUCKETS for k in STEMS))
+                got = known[w] = (zlib.crc32(w.encode()) % (BUCKETS - 1) + 1, *(zlib.crc32(w[:k].encode()) % STEM_BUCKETS for k in STEMS), xxhash.xxh64_intdigest(w.encode()) - (1 << 63))
             out.append(got)
         return np.array(out, np.int64)
 
 
-def distinct_estimate(mask: str, count: str) -> Column:
-    """Distinct predecessors from a 64-slot mask (linear counting), at most the count."""
-    free = 64 - F.bit_count(mask)
-    return F.when(free > 0, F.least(F.col(count).cast("double"), 64 * F.log(64 / F.greatest(free, F.lit(1)).cast("double")))).otherwise(F.col(count).cast("double"))
+def _mixed(u: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """64-bit digests of pairs."""
+    x = (u.astype(np.uint64) * _M) ^ (k.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 @dataclasses.dataclass
@@ -147,32 +151,71 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataF
 
 
 def _gather(found: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums (masks: unions) by bucket; at most BUCKETS rows by word, STEM_BUCKETS by start and (1 / FREQUENT + 1)^2 by bigram."""
-    return found.groupBy("k").agg(*[(F.bit_or(c) if c.startswith("m") else F.sum(c)).alias(c) for c in columns])
+    """Sums by bucket; at most BUCKETS rows by word, STEM_BUCKETS by start and (1 / FREQUENT + 1)^2 by bigram."""
+    return found.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def _pairs(held: tuple[list, list], parts: int) -> Iterator[pa.RecordBatch]:
+    """By class and part of the predecessors: each distinct (predecessor, word) pair and its occurrences, words as rows of places."""
+    for y, rows in enumerate(held):
+        if not rows:
+            continue
+        r = np.concatenate(rows)
+        _, at, n = np.unique(_mixed(r[:, -1], r[:, -2]), return_index=True, return_counts=True)
+        r = r[at]
+        part = (_mixed(r[:, -1], np.zeros(1, np.int64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for own in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+            if not len(own):
+                continue
+            _, first, word = np.unique(r[own, -2], return_index=True, return_inverse=True)
+            column = lambda v, kind: pa.array([v.astype(kind)], pa.list_(pa.from_numpy_dtype(kind)))
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])], pa.int32()), pa.array([y], pa.int32()), column(r[own, -1], np.int64), column(word, np.int32), column(n[own], np.int32), column(r[own][first, :-2].ravel(), np.int32)], names=["part", "y", "before", "word", "n", "places"])
+
+
+def _types(t: pa.Table) -> pa.Table:
+    """(k, n, t0, t1): occurrences of each place and its distinct predecessors by class, of one part of the predecessors."""
+    out = []
+    flat = lambda name, i: t[name][i].values.to_numpy()
+    for y in (0, 1):
+        own = [i for i, v in enumerate(t["y"].to_pylist()) if v == y]
+        if not own:
+            continue
+        before = np.concatenate([flat("before", i) for i in own])
+        n = np.concatenate([flat("n", i) for i in own])
+        places = np.concatenate([flat("places", i).reshape(-1, len(_FIRST))[flat("word", i)] for i in own])
+        for col, first in enumerate(_FIRST):
+            k = places[:, col] + first
+            each, at = np.unique(k, return_inverse=True)
+            distinct = np.unique(_mixed(before, k), return_index=True)[1]
+            out.append((each, np.bincount(at, n).astype(np.int64), *[np.bincount(at[distinct], minlength=len(each)) * (c == y) for c in (0, 1)]))
+    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["k", "n", "t0", "t1"])
 
 
 def count(train: DataFrame) -> Counts:
     """The counts of a table (y, text)."""
 
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
-        n, m = np.zeros((2, _ALL), np.int64), np.zeros((2, _ALL), np.uint64)
+        held: tuple[list, list] = ([], [])
+        size = 0
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), texts(b)):
                 r = h(t)
-                slot = np.uint64(1) << (((r[:-1, 0].astype(np.uint64) + np.uint64(1)) * _M) >> np.uint64(58))
-                for col, first in enumerate(_FIRST):
-                    k = r[1:, col] + first
-                    np.add.at(n[y], k, 1)
-                    np.bitwise_or.at(m[y], k, slot)
-        k = np.nonzero(n.sum(axis=0))[0]
-        for i in range(0, len(k), 100_000):
-            j = k[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(n[0][j]), pa.array(n[1][j]), pa.array(m[0][j].view(np.int64)), pa.array(m[1][j].view(np.int64))], names=["k", "n0", "n1", "m0", "m1"])
+                held[y].append(np.column_stack([r[1:], r[:-1, -1]]))
+                size += len(r)
+                if size >= HELD:
+                    yield from _pairs(held, parts)
+                    held, size = ([], []), 0
+        yield from _pairs(held, parts)
 
     src = train.select("y", F.col("text").cast("string").alias("text"))
-    got = _gather(src.mapInArrow(words, "k long, n0 long, n1 long, m0 long, m1 long"), ["n0", "n1", "m0", "m1"])
-    got = got.select(F.col("k").cast("int"), (F.col("n0") + F.col("n1")).cast("float").alias("n"), *[distinct_estimate(f"m{c}", f"n{c}").cast("float").alias(f"t{c}") for c in (0, 1)]).toArrow()
+    # A predecessor's pairs meet in one part, so that distinct pairs are counted there and the counts of all parts add up.
+    got = src.mapInArrow(words, "part int, y int, before array<long>, word array<int>, n array<int>, places array<int>")
+    got = _gather(got.groupBy("part").applyInArrow(_types, "k long, n long, t0 long, t1 long"), ["n", "t0", "t1"])
+    got = got.select(F.col("k").cast("int"), *[F.col(c).cast("float") for c in ("n", "t0", "t1")]).toArrow()
     k = got["k"].to_numpy()
     total = np.zeros(_ALL, np.float32)
     total[k] = got["n"].to_numpy()

@@ -156,6 +156,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((held["predicted"] == 1) == truth).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
+@pytest.mark.parametrize("held", [2_000_000, 500])
+def test_toxicity_counts_distinct_predecessors(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    texts = [(0, " ".join(f"p{i} common" for i in range(1000))), (1, " ".join(f"q{i} common" for i in range(150)))] * 3
+    got = toxicity.count(spark.createDataFrame(texts, "y int, text string").repartition(3))
+    k = toxicity.Hasher()(b"common")[1]
+    # Words of texts: the first has the text's start before it, the others "common", and "common" has every other word.
+    assert got.total.tolist() == [2000, 300]
+    assert got.unigram[:, k[0]] == pytest.approx([(1000 - toxicity.DISCOUNT) / 2000, (150 - toxicity.DISCOUNT) / 300])
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_classifiers_on_edge_cases(spark, kind):
     run = (lambda d, l: toxicity.classify(d, l)) if kind == "toxic" else (lambda d, l: quality.classify(d, l))
