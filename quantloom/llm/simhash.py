@@ -80,13 +80,11 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
             m = np.minimum(lr, lc)
             if not ((lr != m) | (lc != m)).any():
                 break
+            # Only roots are hooked, so that what earlier blocks joined stays together; edges stay until both ends have one root.
             np.minimum.at(label, lr, m)
             np.minimum.at(label, lc, m)
-            np.minimum.at(label, r, m)
-            np.minimum.at(label, c, m)
-            label = label[label]
-    while (label[label] != label).any():
-        label = label[label]
+            while ((up := label[label]) != label).any():
+                label = up
     node = np.nonzero(label != np.arange(len(label)))[0]
     return node, label[node]
 

@@ -121,6 +121,30 @@ def test_simhash_dense_and_bordering_links(spark):
             assert (groups[i] == groups[j]) == (got.get(a, signed(a)) == got.get(fps[j], signed(fps[j])))
 
 
+def test_simhash_forest_keeps_links_of_all_blocks(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(200):
+        monkeypatch.setattr(simhash, "_BLOCK", 40 * rng.randrange(1, 15))
+        fps = [0]
+        while len(fps) < 40:
+            x = rng.choice(fps[-6:])
+            for bit in rng.sample(range(64), 3):
+                x ^= 1 << bit
+            fps.append(x)
+        fps = rng.sample(sorted(set(fps)), len(set(fps)))
+        half = len(fps) // 2
+        for a, b, same in ((fps, fps, True), (fps[:half], fps[half:], False)):
+            node, root = simhash._forest(np.array(a, np.uint64), np.array(b, np.uint64), 3, same)
+            group = list(range(len(fps)))
+            for i in range(len(fps)):
+                for j in range(i):
+                    if (same or j < half <= i) and bin(fps[i] ^ fps[j]).count("1") <= 3:
+                        group = [group[j] if g == group[i] else g for g in group]
+            label = np.arange(len(fps))
+            label[node] = root
+            assert len(set(zip(group, label.tolist()))) == len(set(group)) == len(set(label.tolist()))
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     out = simhash.keep_one(frame(spark))
     rows = out.collect()
