@@ -2,8 +2,9 @@
 
 Templates are cut into words; the winnowed hashes of their K-word grams form an inverted index. Each text's
 grams are winnowed alike; an index hit is a seed (template, place in the text less place in the template).
-Seeds of near diagonals form a candidate, and a banded alignment of the template with the text around it
-gives the words matched, the coverage of the template and the span in the text.
+Every seed diagonal is a candidate, and a banded alignment of the template with the text around it
+gives the words matched, the coverage of the template and the span in the text. A candidate that a taken match
+overlaps is aligned anew with the words that are left, so that statements next to each other are all found.
 
 Words outside all templates can't be part of a gram of the index, so such grams count as the greatest hash:
 every gram that winnowing a template selects within a stretch is still selected in a text that holds it.
@@ -15,6 +16,7 @@ tables give empty results; other columns are ignored. Positions are code points,
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -104,18 +106,21 @@ class Index:
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """(words matched, first, last+1 in text) of the best alignment in a band around text place = template place + shift.
 
-    A match counts 2, a word left out on either side -1; the ends of both are free.
+    A match counts 2, a word left out on either side -1; the ends of both are free. Words below 0 are taken, no
+    alignment reaches over them. Of equal alignments that whose end is nearest to the shift's own diagonal is taken.
     """
     width = 2 * band + 1
     score = [0] * width
     first = [-1] * width
     count = [0] * width
-    best = (0, 0, 0, 0)
+    best, far = (0, 0, 0, 0), width
     for i, w in enumerate(template.tolist()):
         new, nf, nc = [0] * width, [-1] * width, [0] * width
         for d in range(width):
             j = i + shift + d - band
             s, f, c = 0, -1, 0
+            if 0 <= j < len(text) and text[j] < 0:
+                continue
             if 0 <= j < len(text) and text[j] == w:
                 s, f, c = score[d] + 2, first[d] if first[d] >= 0 else j, count[d] + 1
             # d + 1 of the row above: this template word is left out; d - 1 of this row: this text word is.
@@ -126,8 +131,8 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
             if score[d] - 1 > s:  # one on each side
                 s, f, c = score[d] - 1, first[d], count[d]
             new[d], nf[d], nc[d] = s, f, c
-            if s > best[0]:
-                best = (s, c, f, j + 1)
+            if s > best[0] or s and s == best[0] and abs(d - band) < far:
+                best, far = (s, c, f, j + 1), abs(d - band)
         score, first, count = new, nf, nc
     return best[1:]
 
@@ -151,24 +156,32 @@ def scan_text(text: str, index: Index, least: float = COVERAGE) -> list[Match]:
     for p in hit[np.isin(hit, chosen)].tolist():
         for t, q in index.places[int(h[p])]:
             seeds[t].add(p - q)
-    found: list[tuple[int, int, int, int]] = []
+    #: Candidates, the best first: most words, then coverage, then the earliest start.
+    found: list[tuple[int, float, int, int, int, int]] = []
+
+    def candidate(t: int, s: int) -> None:
+        size, at = len(index.words[t]), max(0, s - BAND)
+        near = numbers[at : s + size + BAND + 1]
+        if np.count_nonzero(near > 0) < least * size:
+            return
+        n, a, b = align(index.words[t], near, s - at)
+        if n and n >= least * size:
+            heapq.heappush(found, (-n, -n / size, a + at, t, b + at, s))
+
     for t, shifts in seeds.items():
-        last = None
         for s in sorted(shifts):
-            if last is not None and s - last <= BAND // 2:
-                continue
-            last = s
-            n, a, b = align(index.words[t], numbers[max(0, s - BAND) : s + len(index.words[t]) + BAND + 1], s - max(0, s - BAND))
-            if n >= least * len(index.words[t]):
-                found.append((t, n, a + max(0, s - BAND), b + max(0, s - BAND)))
+            candidate(t, s)
     if not found:
         return []
     spans = [m.span() for m in _WORD.finditer(plain)]
     out: list[Match] = []
-    for t, n, a, b in sorted(found, key=lambda x: (-x[1], -x[1] / len(index.words[x[0]]), x[2], x[0])):
-        m = Match(index.names[t], spans[a][0], spans[b - 1][1], n, n / len(index.words[t]))
-        if not any(m.start < o.end and o.start < m.end for o in out):
-            out.append(m)
+    while found:
+        n, coverage, a, t, b, s = heapq.heappop(found)
+        if (numbers[a:b] < 0).any():
+            candidate(t, s)
+            continue
+        out.append(Match(index.names[t], spans[a][0], spans[b - 1][1], -n, -coverage))
+        numbers[a:b] = -1
     return sorted(out, key=lambda m: (m.start, m.license, m.end))
 
 

@@ -366,6 +366,22 @@ def test_licenses_find_exact_and_edited_notices(spark):
     assert licenses.report(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("line", [t for _, t in licenses.TEMPLATES if len(t) < 120])
+def test_licenses_find_each_of_a_run_of_statements(line):
+    index = licenses.Index(licenses.TEMPLATES)
+    for between in (" ", " word ", " some more words here "):
+        text = between.join([line] * 9)
+        step = len(line) + len(between)
+        got = licenses.scan_text(text, index)
+        assert [(m.start, m.end, m.coverage) for m in got] == [(i * step, i * step + len(line.rstrip("./")), 1.0) for i in range(9)]
+
+
+def test_licenses_find_an_edited_statement_beside_a_whole_one():
+    index = licenses.Index(licenses.TEMPLATES)
+    got = licenses.scan_text("Licensed under the MIT License. Licensed under the MIT. Licensed under the MIT License.", index)
+    assert [(m.start, m.words) for m in got] == [(0, 5), (32, 4), (56, 5)]
+
+
 def test_winnowing_keeps_what_a_template_keeps():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 60, 50).astype(np.uint64)
