@@ -39,9 +39,11 @@ def operator_rolling_linear_score(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def operator_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two components of the embeddings' first eight coordinates."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return frames.pca(e, [f"e{i}" for i in range(8)], 2).select("vec_id", F.round("pc_1", 5).alias("pc_1"), F.round("pc_2", 5).alias("pc_2"))
+    """Two components of the embeddings, over all coordinates."""
+    src = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    size = src.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = src.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(size)])
+    return frames.pca(e, [f"e{i}" for i in range(size)], 2).select("vec_id", F.round("pc_1", 5).alias("pc_1"), F.round("pc_2", 5).alias("pc_2"))
 
 
 def operator_greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

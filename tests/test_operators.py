@@ -13,7 +13,7 @@ from quantloom.functions.dialect import SPARK
 from quantloom.functions.series import Series
 from quantloom.operators import expressions as E
 from quantloom.operators import frames, models
-from quantloom.plans import registry
+from quantloom.plans import registry, special
 from quantloom.sources import tables
 from quantloom.sources.panel import from_ticks, panel
 from quantloom.streaming import events as stream
@@ -78,6 +78,16 @@ def test_linear_score_recovers_weights(spark):
     assert np.allclose(out["score"], (2 * out["a"] - out["b"]) / 3)
 
 
+def test_pca_query_uses_all_coordinates(spark):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas().set_index("vec_id")["embedding"]
+    x = np.stack(e.to_numpy()).astype(float)
+    x -= x.mean(axis=0)
+    load = np.linalg.svd(x, full_matrices=False)[2][:2]
+    load *= np.sign(load[np.arange(2), np.abs(load).argmax(axis=1)])[:, None]
+    got = special.queries()["operator_pca"](spark, SMALL).toPandas().set_index("vec_id").loc[e.index]
+    assert x.shape[1] > 8 and np.allclose(got.to_numpy(), x @ load.T, atol=1e-4)
+
+
 def test_pca_signs_and_order(spark):
     rng = np.random.default_rng(2)
     t = rng.normal(size=200)
