@@ -81,8 +81,8 @@ def base_findings(text: str) -> list[Finding]:
 
 def lexed_findings(text: str) -> list[Finding]:
     """Literals that end up in sensitive names."""
-    #: What a name was given: (value, start, end) of each literal in it.
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    #: What a name was given: the value, and (start, end) of each literal in it.
+    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out: dict[tuple[int, int], Finding] = {}
     after = 0
     for line in text.split("\n"):
@@ -97,20 +97,21 @@ def lexed_findings(text: str) -> list[Finding]:
                 i += 1
                 continue
             target = name.strip("\"'").rpartition(".")[2] if kind == "name" else name.strip("\"'")
-            value: list[tuple[str, int, int]] = []
+            value, spans = "", []
             i += 2
             chained = False
             while i < len(tokens):
                 kind, raw, start, end = tokens[i]
-                if kind == "name" and i + 1 < len(tokens) and tokens[i + 1][0] == "mark" and not value:
+                if kind == "name" and i + 1 < len(tokens) and tokens[i + 1][0] == "mark" and not spans:
                     chained = True  # a = b = literal: the inner pair comes next and is carried over below
                     break
                 if kind == "string":
-                    value.append((raw[1:-1], start + 1, end - 1))
+                    value, spans = value + raw[1:-1], [*spans, (start + 1, end - 1)]
                 elif kind == "bare":
-                    value.append((raw, start, end))
+                    value, spans = value + raw, [*spans, (start, end)]
                 elif kind == "name":
-                    value += known.get(raw.rpartition(".")[2], [(raw, start, end)])
+                    more = known.get(raw.rpartition(".")[2], (raw, [(start, end)]))
+                    value, spans = value + more[0], spans + more[1]
                 else:
                     break
                 if i + 1 < len(tokens) and tokens[i + 1][0] == "plus":
@@ -118,13 +119,16 @@ def lexed_findings(text: str) -> list[Finding]:
                     continue
                 i += 1
                 break
-            if chained or not value:
+            if chained or not spans:
                 continue
-            known[target] = value[:16]
-            score = literal_score(target, "".join(v for v, _, _ in value))
+            spans = list(dict.fromkeys(spans))
+            if len(value) > 2 * len(text):  # only by repetition (x = x + x): each literal once, then the value as far as the text's length
+                value = "".join(text[start:end] for start, end in spans) + value[: len(text)]
+            known[target] = value, spans
+            score = literal_score(target, value)
             if score >= THRESHOLD:
-                for v, start, end in value:
-                    if v and ((start, end) not in out or out[start, end].score < score):
+                for start, end in spans:
+                    if start < end and ((start, end) not in out or out[start, end].score < score):
                         out[start, end] = Finding("named", start, end, start, end, target, score)
     return sorted(out.values(), key=lambda f: f.start)
 

@@ -416,6 +416,18 @@ def test_secret_lexer_propagates_constants():
     assert secrets.redact('token = "abcdef123456" and password=hunter22') == 'token = "[SECRET]" and password=[SECRET]'
 
 
+def test_secret_lexer_keeps_every_literal_of_a_constant():
+    parts = [f"k{i}Zq" for i in range(40)]
+    text = "BASE = " + " + ".join(f'"{p}"' for p in parts) + "\npassword = BASE\n"
+    assert [text[f.start : f.end] for f in secrets.lexed_findings(text)] == parts
+    assert not any(p in secrets.redact(text) for p in parts)
+    # Repetition counts for the value, and doubling ends.
+    text = 'x = "a1Z.q"\ny = x + x\npassword = y\n'
+    assert [text[f.start : f.end] for f in secrets.lexed_findings(text)] == ["a1Z.q"]
+    text = 'x = "a1Z.q"\n' + "x = x + x\n" * 200 + "password = x\n"
+    assert [text[f.start : f.end] for f in secrets.lexed_findings(text)] == ["a1Z.q"]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = frame(spark, [*TEXTS, "password=abcdef99"]).withColumn("n_chars", F.length("text").cast("long"))
     out = secrets.redacted(df)
