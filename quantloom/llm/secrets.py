@@ -91,19 +91,22 @@ def lexed_findings(text: str) -> list[Finding]:
             continue
         tokens = [(m.lastgroup, m[0], m.start() + first, m.end() + first) for m in _TOKEN.finditer(line)]
         i = 0
+        targets: list[str] = []
         while i + 1 < len(tokens):
             kind, name, _, _ = tokens[i]
             if kind not in ("name", "string") or tokens[i + 1][0] != "mark" or tokens[i + 1][1] in ("==", "!=", "<=", ">="):
                 i += 1
+                targets = []
                 continue
             target = name.strip("\"'").rpartition(".")[2] if kind == "name" else name.strip("\"'")
+            targets.append(target)
             value, spans = "", []
             i += 2
             chained = False
             while i < len(tokens):
                 kind, raw, start, end = tokens[i]
                 if kind == "name" and i + 1 < len(tokens) and tokens[i + 1][0] == "mark" and not spans:
-                    chained = True  # a = b = literal: the inner pair comes next and is carried over below
+                    chained = True  # a = b = literal: the inner pair comes next, its literals go to all targets
                     break
                 if kind == "string":
                     value, spans = value + raw[1:-1], [*spans, (start + 1, end - 1)]
@@ -119,12 +122,16 @@ def lexed_findings(text: str) -> list[Finding]:
                     continue
                 i += 1
                 break
-            if chained or not spans:
+            if chained:
+                continue
+            given, targets = targets, []
+            if not spans:
                 continue
             spans = list(dict.fromkeys(spans))
             if len(value) > 2 * len(text):  # only by repetition (x = x + x): each literal once, then the value as far as the text's length
                 value = "".join(text[start:end] for start, end in spans) + value[: len(text)]
-            known[target] = value, spans
+            known.update((t, (value, spans)) for t in given)
+            target = max(given, key=sensitivity)
             score = literal_score(target, value)
             if score >= THRESHOLD:
                 for start, end in spans:

@@ -428,6 +428,14 @@ def test_secret_lexer_keeps_every_literal_of_a_constant():
     assert [text[f.start : f.end] for f in secrets.lexed_findings(text)] == ["a1Z.q"]
 
 
+def test_secret_lexer_gives_a_chain_of_targets_its_literals():
+    for text in ('password = tmp = "Zx81hh2Kq0"\n', 'tmp = password = "Zx81hh2Kq0"\n', 'a = tmp = "Zx81hh2Kq0"\npassword = a\n', 'password: str = "Zx81hh2Kq0"\n'):
+        got = secrets.lexed_findings(text)
+        assert [(text[f.start : f.end], f.name) for f in got] == [("Zx81hh2Kq0", "password")]
+        assert "Zx81hh2Kq0" not in secrets.redact(text)
+    assert secrets.lexed_findings('password = tmp == other = "Zx81hh2Kq0"\n') == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = frame(spark, [*TEXTS, "password=abcdef99"]).withColumn("n_chars", F.length("text").cast("long"))
     out = secrets.redacted(df)
