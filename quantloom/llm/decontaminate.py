@@ -1,40 +1,43 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-The test items are cut into windows of ``window`` words (a shorter item is one window). Every partition of
-the documents is a shard: its words become numbers, a sparse suffix array is built over the positions whose
-next words could all belong to a window, and every suffix of every test item is binary-searched in it. That
-gives the longest verbatim match of each test suffix and where it stands; a match at least as long as the
-suffix's window marks the words it covers.
+Every shard of the documents (SHARD words at most, a longer document alone) is a sequence of word numbers, with
+a zero after each document and in place of words that no test item has. Ranks of its next 1, 2, 4 ... words are
+made by prefix doubling together with those of the test items, so that both are comparable; they order the
+suffix array, in which every test suffix is found by binary search, all at once. Suffixes that share a test
+window of ``window`` words (a shorter item is one window) lie side by side; matches that go on from window to
+window become one verbatim match with its place, item and offset. longest_matches() gives the longest match of
+every test suffix, however short or long, and where it stands. Documents with too much of it are removed.
 
 The test items go to the executors in blocks of at most BLOCK words, so what is broadcast has a fixed bound;
-further blocks are further passes, whose spans are merged by document.
+further blocks are further passes over the rows, which carry the matches found so far: no pass shuffles.
 
 Edge cases: null texts have no words; an item without words has no window; a document without words is clean
 (n_hit 0, n_words 0, not contaminated); repeated rows are judged alike, repeated items count once by id and
-items with a null id hit words but are not listed; empty tables give empty results or clean documents.
-Other columns are ignored.
+items with a null id hit words but are not listed; a very long text is a shard of its own; empty tables give
+empty results or clean documents. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, texts
+from .common import texts
 
-#: Columns that matches() adds.
-MATCH = ("_n_words", "_starts", "_lengths", "_items", "_offsets")
 #: Words of test items that one pass broadcasts at most (an item is never cut).
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Words of documents that one suffix array holds, a longer document alone.
-SHARD = 2_000_000
+SHARD = 1_000_000
+#: Pairs of a document and a window's item that are held at once.
+PAIRS = 1 << 21
 #: A-Z become a-z; 0-9, a-z and bytes of 0x80 and above stay; all else becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_NONE = np.zeros(0, np.int64)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -43,189 +46,317 @@ def words(data: bytes) -> list[bytes]:
 
 
 class Items:
-    """One block of test items: vocabulary, suffixes and the window length at each suffix."""
+    """One block of test items: vocabulary, word numbers with a 0 after each item, and the window at each suffix."""
 
     def __init__(self, rows: list[tuple[int | None, list[bytes]]], window: int) -> None:
         self.window = window
         self.number: dict[bytes, int] = {}
-        seq, item, need = [], [], []
-        for item_id, w in rows:
-            k = min(window, len(w))
-            seq += [self.number.setdefault(x, len(self.number) + 1) for x in w] + [0]
-            item += [item_id] * (len(w) + 1)
-            need += [k] * (len(w) - k + 1) + [0] * k if k else [0]
-        #: Word numbers with a 0 after each item; need: window length of the suffix, 0 where none starts.
-        self.seq, self.need, self.item = np.array(seq, np.int32), np.array(need, np.int32), item
-        at = np.nonzero(self.need)[0]
-        # A test suffix matters up to its window; equal windows are searched once.
-        self.queries: dict[tuple[int, ...], list[int]] = {}
-        for p in at.tolist():
-            self.queries.setdefault(tuple(self.seq[p : p + self.need[p]].tolist()), []).append(p)
-        self.least = int(self.need[at].min()) if len(at) else 0
-
-
-def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The positions at, in order of their next depth words (0 past the end), and those words as rows."""
-    padded = np.concatenate([seq, np.zeros(depth, seq.dtype)])
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[at]
-    order = np.lexsort(keys.T[::-1])
-    return at[order], keys[order]
-
-
-def search(keys: np.ndarray, suffix: tuple[int, ...]) -> tuple[int, int, int]:
-    """(longest match, first, last+1): binary search of a suffix, word by word, in the sorted rows."""
-    lo, hi = 0, len(keys)
-    for k, w in enumerate(suffix):
-        col = keys[lo:hi, k]
-        a, b = np.searchsorted(col, w, "left"), np.searchsorted(col, w, "right")
-        if a == b:
-            return k, lo, hi
-        lo, hi = lo + int(a), lo + int(b)
-    return len(suffix), lo, hi
-
-
-def _shard(docs: list[list[bytes]], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over the documents of a shard end to end: match starts, lengths and test positions; and document starts."""
-    get = items.number.get
+        size = np.array([len(w) + 1 for _, w in rows], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.seq = np.zeros(int(self.first[-1]), np.int32)
+        for (_, w), at in zip(rows, self.first.tolist()):
+            self.seq[at : at + len(w)] = [self.number.setdefault(x, len(self.number) + 1) for x in w]
+        #: Item of each position, by its number among rows; null ids are listed nowhere.
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        self.id = np.array([0 if i is None else i for i, _ in rows], np.int64)
+        self.listed = np.array([i is not None for i, _ in rows], bool)
+        #: Window length at each position where a window starts, else 0.
+        n = (size - 1)[self.owner] if len(rows) else _NONE
+        k = np.minimum(n, window)
+        offset = np.arange(len(self.seq)) - self.first[self.owner]
+        self.need = np.where(offset + k <= n, k, 0).astype(np.int32) if len(rows) else _NONE.astype(np.int32)
+        self.need[self.seq == 0] = 0
+
+
+class Ranks:
+    """Ranks of the next 1, 2, 4 ... words of every position of a sequence, by prefix doubling."""
+
+    def __init__(self, seq: np.ndarray, depth: int) -> None:
+        n = len(seq)
+        self.by = [np.append(seq, 0).astype(np.int64)]
+        step = 1
+        while step * 2 <= depth:
+            last = self.by[-1]
+            ahead = np.zeros(n + 1, np.int64)
+            ahead[: max(0, n - step)] = last[step:n]
+            key = last * (n + 2) + ahead
+            order = np.argsort(key)
+            ranked = key[order]
+            rank = np.zeros(n + 1, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+            self.by.append(rank)
+            step *= 2
+
+    def key(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Numbers in the order of the next k words of the positions; equal where these are equal."""
+        j = min(k.bit_length() - 1, len(self.by) - 1)
+        if k > 2 << j:
+            raise ValueError("ranks aren't that deep")
+        rank = self.by[j]
+        end = len(rank) - 1
+        return rank[at] * (end + 2) + rank[np.minimum(at + k - (1 << j), end)]
+
+
+def _numbered(docs: list[list[bytes]], items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of documents end to end, each followed by a 0, and their starts."""
     size = np.array([len(d) + 1 for d in docs], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
     seq = np.zeros(int(first[-1]), np.int32)
+    get = items.number.get
     for d, p in zip(docs, first.tolist()):
-        seq[p : p + len(d)] = np.fromiter((get(x, 0) for x in d), np.int32, len(d))
-    # How many known words follow each position: suffixes with fewer than the shortest window match nothing whole.
-    unknown = np.nonzero(seq == 0)[0]
-    ahead = unknown[np.searchsorted(unknown, np.arange(len(seq)))] - np.arange(len(seq)) if len(seq) else seq
-    at = np.nonzero(ahead >= max(1, items.least))[0]
-    found_at, found_len, found_test = [], [], []
-    if len(at) and items.least:
-        sa, keys = suffix_array(seq, at, items.window)
-        for suffix, tests in items.queries.items():
-            long, lo, hi = search(keys, suffix)
-            if long == len(suffix):
-                for t in tests:
-                    found_at.append(sa[lo:hi])
-                    found_len.append(np.full(hi - lo, long))
-                    found_test.append(np.full(hi - lo, t))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_at or [none]), np.concatenate(found_len or [none]), np.concatenate(found_test or [none]), first)
+        seq[p : p + len(d)] = np.fromiter(map(get, d, repeat(0)), np.int32, len(d))
+    return seq, first
+
+
+def find(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, window length, test position) of every place of a shard where a test window stands.
+
+    A window that several test positions have is told by the first of them.
+    """
+    kinds = np.unique(items.need[items.need > 0]).tolist()
+    # Positions followed by fewer known words than the shortest window hold no window.
+    zero = np.nonzero(seq == 0)[0]
+    ahead = zero[np.searchsorted(zero, np.arange(len(seq)))] - np.arange(len(seq)) if len(zero) else np.zeros(len(seq), np.int64)
+    at = np.nonzero(ahead >= kinds[0])[0] if kinds else _NONE
+    if not len(at):
+        return _NONE, _NONE, _NONE
+    # Stretches of the shard that hold such positions, and the test items, are ranked together.
+    near = np.zeros(len(seq) + 1, np.int64)
+    np.add.at(near, at, 1)
+    np.add.at(near, np.minimum(at + items.window, len(seq)), -1)
+    kept = np.nonzero(np.cumsum(near)[:-1] > 0)[0]
+    gap = np.ones(len(kept), np.int64)
+    gap[1:] = np.diff(kept) > 1
+    place = np.arange(len(kept)) + np.cumsum(gap)
+    both = np.zeros(int(place[-1]) + 2 + len(items.seq), np.int32)
+    both[place] = seq[kept]
+    base = int(place[-1]) + 2
+    both[base:] = items.seq
+    ranks = Ranks(both, items.window)
+    mine = place[np.searchsorted(kept, at)]
+    sa = np.argsort(ranks.key(mine, items.window), kind="stable")
+    out = []
+    for k in kinds:
+        test = np.nonzero(items.need == k)[0]
+        keys, first = np.unique(ranks.key(test + base, k), return_index=True)
+        column = ranks.key(mine[sa], k)  # in order, as the suffix array is
+        lo, hi = np.searchsorted(column, keys, "left"), np.searchsorted(column, keys, "right")
+        n = hi - lo
+        inside = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = at[sa[inside]]
+        out.append((found, np.full(len(found), k), np.repeat(test[first], n)))
+    p, k, t = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((k, p))
+    return p[order], k[order], t[order]
+
+
+def longest(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(length, position) of the longest match of every test position's suffix in a shard; position -1 for none."""
+    n = len(items.seq)
+    at = np.nonzero(seq)[0]
+    if not n or not len(at):
+        return np.zeros(n, np.int64), np.full(n, -1)
+    depth = 1 << int(np.diff(items.first).max()).bit_length()
+    both = np.concatenate([seq, [0], items.seq])
+    ranks = Ranks(both, depth).by[-1]
+    base = len(seq) + 1
+    sa = at[np.argsort(ranks[at], kind="stable")]
+    place = np.searchsorted(ranks[sa], ranks[base:-1], "left")
+    best, where = np.zeros(n, np.int64), np.full(n, -1)
+    # The longest common prefix is that with a neighbour in the order.
+    for side in (place - 1, place):
+        own = sa[np.clip(side, 0, len(sa) - 1)]
+        size, live = np.zeros(n, np.int64), np.arange(n)
+        while len(live):
+            a, b = both[own[live] + size[live]], both[base + live + size[live]]
+            live = live[(a == b) & (a > 0)]
+            size[live] += 1
+        better = size > best
+        best[better], where[better] = size[better], own[better]
+    return best, where
 
 
 def blocks(bench: DataFrame, window: int = 13, item_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The test items in blocks of a bounded number of words, taken from an iterator over partitions."""
+    """The test items in blocks of a bounded number of words, taken from an iterator over partitions; one block at least."""
     rows: list[tuple[int | None, list[bytes]]] = []
     total = 0
-    src = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    src = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    some = False
     for r in src.toLocalIterator(prefetchPartitions=False):
         w = words((r["text"] or "").encode())
         if w:
             if rows and total + len(w) > BLOCK:
                 yield Items(rows, window)
-                rows, total = [], 0
+                rows, total, some = [], 0, True
             rows.append((r["item_id"], w))
             total += len(w)
-    yield Items(rows, window)
-
+    if rows or not some:
+        yield Items(rows, window)
 
-def matches(docs: DataFrame, items: Items) -> DataFrame:
-    """(row columns, n_words, starts, lengths, item_ids, item_offsets): the verbatim matches of each document, in word positions.
 
-    All columns of docs stay; it must hold a string column text. One row per input row.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    names = docs.columns
-    if free(docs, *MATCH) != list(MATCH):
-        raise ValueError(f"columns named {', '.join(MATCH)} must be renamed first")
-    schema = docs.select("*", F.lit(0).cast("long").alias("_n_words"), *[F.array().cast("array<long>").alias(c) for c in MATCH[1:]]).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], own.seq[:-1] == 0]), np.arange(len(own.seq)), 0)) if len(own.seq) else own.seq
-
-        def flush(b: pa.RecordBatch, docs_: list[list[bytes]]) -> pa.RecordBatch:
-            p, n, t, first = _shard(docs_, own)
-            d = np.searchsorted(first, p, "right") - 1
-            order = np.lexsort((t, p))
-            p, n, t, d = p[order], n[order], t[order], d[order]
-            offsets = pa.array(np.searchsorted(d, np.arange(len(docs_) + 1)), pa.int32())
-            cols = [p - first[d], n, None, t - start[t] if len(t) else t]
-            arrays = [pa.array(x, pa.int64()) if x is not None else pa.array([own.item[i] for i in t.tolist()], pa.int64()) for x in cols]
-            return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array([len(x) for x in docs_], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in arrays]], names=[*names, *MATCH])
-
-        for b in batches:
-            done, part, total = 0, [], 0
-            for i, text in enumerate(texts(b)):
-                w = words(text)
-                if part and total + len(w) > SHARD:
-                    yield flush(b.slice(done, i - done), part)
-                    done, part, total = i, [], 0
-                part.append(w)
-                total += len(w) + 1
-            if part:
-                yield flush(b.slice(done), part)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _covered(starts: np.ndarray, lengths: np.ndarray) -> int:
-    if not len(starts):
-        return 0
-    end = np.maximum.accumulate(starts + lengths)
-    return int((end - np.maximum(starts, np.concatenate([[0], end[:-1]]))).clip(0).sum())
-
-
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows with the words of their texts, SHARD words together at most, or one row."""
     for b in batches:
-        hit, count, digest = [], [], []
-        for starts, lengths, ids in zip(*(b.column(b.schema.get_field_index(c)) for c in ("_starts", "_lengths", "_items"))):
-            s, n = np.array(starts.as_py(), np.int64), np.array(lengths.as_py(), np.int64)
-            order = np.argsort(s, kind="stable")
-            own = sorted(str(x) for x in {*ids.as_py()} - {None})
-            hit.append(_covered(s[order], n[order]))
-            count.append(len(own))
-            digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-        total = b.column(b.schema.get_field_index("_n_words")).to_numpy()
-        bad = [h > 0 and 20 * h >= n for h, n in zip(hit, total.tolist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        done, part, total = 0, [], 0
+        for i, text in enumerate(texts(b, column)):
+            w = words(text)
+            if part and total + len(w) > SHARD:
+                yield b.slice(done, i - done), part
+                done, part, total = i, [], 0
+            part.append(w)
+            total += len(w) + 1
+        if part:
+            yield b.slice(done), part
+
+
+_MATCH = "struct<start:bigint,length:bigint,item:bigint,offset:bigint>"
+_FIELDS = ("start", "length", "item", "offset")
+
+
+def _lists(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row of each element of a list column, and the elements."""
+    flat = col.flatten()
+    n = np.diff(col.offsets.to_numpy())
+    return np.repeat(np.arange(len(col)), n), flat
 
 
-_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+def _as_lists(row: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
+    """A list column of n rows from elements ordered by row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+
+def _union(row: np.ndarray, kind: np.ndarray, start: np.ndarray, item: np.ndarray, earlier: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, item) for pairs (row, kind), whose items are item[start[kind]:start[kind + 1]], and earlier ones."""
+    held, total, out = [], 0, earlier
+    n = start[kind + 1] - start[kind]
+    cut = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()) + PAIRS, PAIRS), "right") if len(n) else []
+    for a, b in zip([0, *cut[:-1]], cut) if len(n) else []:
+        b = max(b, a + 1)
+        m = n[a:b]
+        at = np.repeat(start[kind[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        pair = np.unique(np.column_stack([np.concatenate([out[0], np.repeat(row[a:b], m)]), np.concatenate([out[1], item[at]])]), axis=0)
+        out = pair[:, 0], pair[:, 1]
+    return out
+
+
+def marked(docs: DataFrame, bench: DataFrame, window: int = 13, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(columns of docs as c0, c1 ..., n_words, n_hit, items, matches): what every document shares with the test items.
+
+    matches: verbatim matches of a window at least, in words: where it starts, its length, an item that has it and
+    the place there. items: distinct ids of items of which a window occurs, in order. keep: columns to return, all by default.
+    """
+    spark = docs.sparkSession
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = number[text_col]
+    kept = [number[c] for c in (docs.columns if keep is None else keep)]
+    out = docs.select(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in number.items()])
+    out = out.select(*dict.fromkeys([*kept, text]), F.lit(None).cast("array<bigint>").alias("items"), F.lit(None).cast(f"array<{_MATCH}>").alias("matches"))
+    every = list(blocks(bench, window))
+    for i, items in enumerate(every):
+        shared = spark.sparkContext.broadcast(items)
+        names = list(dict.fromkeys([*kept, text])) if i + 1 < len(every) else kept
+        schema = out.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), "items", "matches").schema
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            # Items of each distinct window: test positions by the first position that has the same words.
+            at = np.nonzero(own.need)[0]
+            first = np.zeros(len(own.seq), np.int64)
+            if len(at):
+                ranks = Ranks(own.seq, own.window)
+                for k in np.unique(own.need[at]).tolist():
+                    t = at[own.need[at] == k]
+                    _, one, which = np.unique(ranks.key(t, k), return_index=True, return_inverse=True)
+                    first[t] = t[one][which]
+                del ranks
+            at = at[own.listed[own.owner[at]]] if len(at) else at
+            pair = np.unique(np.column_stack([first[at], own.id[own.owner[at]]]), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            start = np.searchsorted(pair[:, 0], np.arange(len(own.seq) + 1))
+            for b, part in _shards(batches, text):
+                n = len(part)
+                seq, begin = _numbered(part, own)
+                p, k, t = find(seq, own)
+                d = np.searchsorted(begin, p, "right") - 1
+                # Windows that follow each other in document and item are one match.
+                new = np.ones(len(p), bool)
+                new[1:] = (np.diff(p) != 1) | (np.diff(t) != 1) | (k[1:] != k[:-1])
+                head = np.nonzero(new)[0]
+                run_ = np.diff(np.append(head, len(p)))
+                row, begins, length = d[head], p[head] - begin[d[head]], run_ + k[head] - 1
+                owner = own.owner[t[head]]
+                found = [begins, length, np.where(own.listed[owner], own.id[owner], 0) if len(owner) else _NONE, t[head] - own.first[owner]]
+                nameless = np.zeros(len(row), bool) if not len(owner) else ~own.listed[owner]
+                old_row, old = _lists(b.column(b.schema.get_field_index("matches")))
+                every_row = np.concatenate([old_row, row])
+                fields = [np.concatenate([old.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), v]) for f, v in zip(range(4), found)]
+                blank = np.concatenate([old.field(2).is_null().to_numpy(zero_copy_only=False), nameless])
+                order = np.lexsort((fields[1], fields[0], every_row))
+                every_row, fields, blank = every_row[order], [f[order] for f in fields], blank[order]
+                # Words covered.
+                edge = np.zeros(len(seq) + 1, np.int64)
+                np.add.at(edge, begin[every_row] + fields[0], 1)
+                np.add.at(edge, begin[every_row] + fields[0] + fields[1], -1)
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+                hit = covered[begin[1:]] - covered[begin[:-1]]
+                old_row, old_items = _lists(b.column(b.schema.get_field_index("items")))
+                mine = np.unique(np.column_stack([d, t]), axis=0) if len(d) else np.zeros((0, 2), np.int64)
+                item_row, item = _union(mine[:, 0], mine[:, 1], start, pair[:, 1], (old_row, old_items.to_numpy(zero_copy_only=False).astype(np.int64)))
+                struct = pa.StructArray.from_arrays([pa.array(f, pa.int64(), mask=blank) if i == 2 else pa.array(f, pa.int64()) for i, f in enumerate(fields)], names=list(_FIELDS))
+                arrays = [b.column(b.schema.get_field_index(c)) for c in names]
+                arrays += [pa.array([len(x) for x in part], pa.int64()), pa.array(hit, pa.int64()), _as_lists(item_row, pa.array(item, pa.int64()), n), _as_lists(every_row, struct, n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_hit", "items", "matches"])
+
+        out = out.mapInArrow(run, schema)
+        if i + 1 < len(every):
+            out = out.drop("n_words", "n_hit")
+    return out
+
+
+def _contaminated() -> F.Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
-    Contaminated: n_hit > 0 and 20 * n_hit >= n_words.
+    Contaminated: n_hit > 0 and 20 * n_hit >= n_words. The matches themselves are in marked().
+    """
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return marked(src, bench, window, keep=["doc_id"]).select(
+        F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), _contaminated().alias("contaminated")
+    )
+
+
+def longest_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(item_id, offset, length, doc_id, start): the longest verbatim match of every test suffix in the documents, in words.
+
+    Of equal lengths that of the smallest id and place stays; suffixes without a match and items without an id are left out.
+    Every shard sends one row by suffix, which are reduced by partial maxima.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [matches(src, x).drop("text", "_offsets") for x in blocks(bench, window)]
-    if len(found) == 1:
-        return found[0].mapInArrow(_summary, _REPORT)
-    # Several blocks: one row per document and block, merged by document; a document that stands in several
-    # rows keeps them apart by its text's digest and its number of copies.
-    found = [matches(src.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), x).drop("text", "_offsets") for x in blocks(bench, window)]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    merged = every.groupBy("doc_id", "_sha").agg(F.first("_n_words").alias("_n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("_starts", "_lengths", "_items")], (F.count("*") / len(found)).cast("int").alias("_copies"))
-    merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return merged.select("doc_id", "_n_words", "_starts", "_lengths", "_items").mapInArrow(_summary, _REPORT)
+    out = None
+    for items in blocks(bench):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for b, part in _shards(batches, "text"):
+                seq, begin = _numbered(part, own)
+                size, place = longest(seq, own)
+                t = np.nonzero((size > 0) & (own.listed[own.owner] if len(own.seq) else False))[0]
+                d = np.searchsorted(begin, place[t], "right") - 1
+                arrays = [pa.array(own.id[own.owner[t]]), pa.array(t - own.first[own.owner[t]]), pa.array(size[t]), b.column(0).take(pa.array(d)), pa.array(place[t] - begin[d])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "offset", "length", "doc_id", "start"])
+
+        found = src.mapInArrow(run, "item_id long, offset long, length long, doc_id long, start long")
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy("item_id", "offset").agg(F.max(F.struct("length", (-F.col("doc_id")).alias("d"), (-F.col("start")).alias("s"))).alias("m"))
+    return best.select("item_id", "offset", F.col("m.length").alias("length"), (-F.col("m.d")).alias("doc_id"), (-F.col("m.s")).alias("start"))
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
-    """The documents, all columns, that are not contaminated."""
-    # Columns go by number meanwhile, so that none clashes with those that are added.
-    number = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
-    out = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(n) for c, n in number.items()])
-    out = out.withColumn("spans", F.lit(None).cast("array<struct<_starts:bigint,_lengths:bigint>>"))
-    for items in blocks(bench, window):
-        marked = matches(out.drop("total"), items)
-        # Spans of one block stay with the row; blocks are merged before the rule is applied.
-        zipped = F.arrays_zip("_starts", "_lengths")
-        out = marked.withColumn("spans", F.when(F.col("spans").isNull(), zipped).otherwise(F.concat("spans", zipped))).withColumnRenamed("_n_words", "total").drop(*MATCH)
-
-    # Words covered: fold over spans ordered by start, carrying (end so far, words so far).
-    zero = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n"))
-    step = lambda acc, s: F.struct(F.greatest(acc["e"], s["_starts"] + s["_lengths"]).alias("e"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["_starts"] + s["_lengths"] - F.greatest(acc["e"], s["_starts"]))).alias("n"))
-    out = out.withColumn("hit", F.aggregate(F.array_sort("spans"), zero, step, lambda a: a["n"]))
-    return out.where(~((F.col("hit") > 0) & (20 * F.col("hit") >= F.col("total")))).select(*[F.col(n).alias(c) for c, n in number.items()])
+    """The documents, all columns, that are not contaminated; repeated rows are judged alike, a null text is clean."""
+    out = marked(docs, bench, window).where(~_contaminated())
+    kind = docs.schema["text"].dataType
+    return out.select(*[F.col(f"c{i}").cast(kind if c == "text" else docs.schema[i].dataType).alias(c) for i, c in enumerate(docs.columns)])

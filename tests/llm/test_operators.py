@@ -266,6 +266,43 @@ def test_contamination_equals_brute_force(spark, monkeypatch, block):
     assert decontaminate.report(df, b.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        known = [b"a", b"b", b"c", b"dd"]
+        docs = [[rng.choice([*known, b"zz"]) for _ in range(rng.randint(0, 30))] for _ in range(6)]
+        items = decontaminate.Items([(i if rng.random() < 0.9 else None, [rng.choice(known) for _ in range(rng.randint(1, 12))]) for i in range(5)], 4)
+        rows = [[next(w for w, n in items.number.items() if n == x) for x in items.seq[a : b - 1]] for a, b in zip(items.first, items.first[1:])]
+        seq, first = decontaminate._numbered(docs, items)
+        size, place = decontaminate.longest(seq, items)
+        for t in range(len(items.seq)):
+            o = int(items.owner[t])
+            suffix, best = rows[o][t - int(items.first[o]) :], 0
+            for d in docs:
+                for s in range(len(d)):
+                    n = 0
+                    while n < len(suffix) and s + n < len(d) and d[s + n] == suffix[n]:
+                        n += 1
+                    best = max(best, n)
+            assert best == size[t]
+            assert (seq[place[t] : place[t] + best] == items.seq[t : t + best]).all()
+        p, k, t = decontaminate.find(seq, items)
+        want = {(int(first[i]) + s, n) for i, d in enumerate(docs) for s in range(len(d)) for w in rows for n in [min(4, len(w))] for a in range(len(w) - n + 1) if d[s : s + n] == w[a : a + n]}
+        assert set(zip(p.tolist(), k.tolist())) == want
+
+
+def test_longest_matches_and_places(spark):
+    docs = frame(spark, ["x a b c d e f y", "a b c", None, "q " * 3000 + "c d e f"])
+    bench = spark.createDataFrame([(7, "a b c d e f"), (8, None), (None, "q")], "item_id long, text string")
+    got = {(r["item_id"], r["offset"]): r for r in decontaminate.longest_matches(docs, bench).collect()}
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert (got[7, 0]["length"], got[7, 0]["doc_id"], got[7, 0]["start"]) == (6, ids[0], 1)
+    assert (got[7, 2]["length"], got[7, 2]["doc_id"], got[7, 2]["start"]) == (4, ids[0], 3)
+    assert len(got) == 6
+    row = decontaminate.marked(docs.limit(1), bench, 3, keep=["doc_id"]).first()
+    assert [(m["start"], m["length"], m["item"], m["offset"]) for m in row["matches"]] == [(1, 6, 7, 0)]
+
+
 # --- 4
 
 
