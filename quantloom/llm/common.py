@@ -17,11 +17,13 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local runs) is a folder of our own made and set.
+    Only where that is unset and the session runs in one process (tests, local runs) is a folder of our own made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = known or f"file://{tempfile.mkdtemp(prefix='quantloom-')}"
         if not known:
             spark.sparkContext.setCheckpointDir(base)
@@ -44,7 +46,7 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes what materialize() wrote in this application, once its results have been used; returns the number of tables."""
+    """Deletes the paths of shared_path() in this application, once their results have been used; returns their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -53,11 +55,17 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
