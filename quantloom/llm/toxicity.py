@@ -1,22 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary labelled texts, are discounted in the Kneser-Ney manner:
-a bigram's discounted count backs off to its word, the word's to ever shorter starts (its
-first 7 to 4 letters), and the last to a uniform share. Word and start levels count distinct predecessors, not occurrences, so a text that was
-copied many times does not pass for evidence. The mass that a discount frees is computed from the counts of
-both classes together; a word that neither class knows thus has the same likelihood in both.
+Two bigram models, one of toxic and one of ordinary labelled texts, are discounted in the Kneser-Ney manner. Each
+level's discounted counts of a class are smoothed by what the level below says, in proportion to the counts of both
+classes together, which are the shared backoff: a bigram leans on its word, the word on ever shorter starts (its
+first 7 to 4 letters), and the last on a uniform share. Words and starts count distinct predecessors, exactly, not
+occurrences, so a text that was copied many times does not pass for evidence; bigrams count occurrences, all of them,
+however rare their words. What both classes know equally, or neither knows, has the same likelihood in both.
 
 A text's statistics are length-normalised differences of the two log-likelihoods, over the whole text, over
 its most toxic runs of RUNS words and over its TOPS most toxic distinct words; a logistic curve on them gives the score. The curve is fitted on labelled
 rows that the counts left out.
 
-Counts are kept by hash in BUCKETS places, which bounds what the driver and the executors hold whatever the
-size of the corpus; every labelled row outside the held-out and the calibration part is counted. The curve is
-fitted on at most CALIBRATION rows, those of least hash.
+Counts are kept by hash, words in BUCKETS, starts in STEM_BUCKETS and bigrams in PAIRS places, which bounds what the
+driver and the executors hold whatever the size of the corpus; every labelled row outside the held-out and the
+calibration part is counted. The curve is fitted on at most CALIBRATION rows, those of least hash.
 
-Edge cases: a null text counts as empty; an empty text has zero statistics and is scored like any other;
-repeated rows get equal scores; empty tables give empty results; without labels of both classes the score is
-the smoothed share of toxic labels. Labels, ids, languages and sources are never inputs of a score.
+Edge cases: a null text counts as empty; an empty text has zero statistics and is scored like any other; a very
+long text is read whole; repeated rows get equal scores; empty tables give empty results; without labels of both
+classes the score is the smoothed share of toxic labels. Labels, ids, languages and sources are never inputs of a
+score; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,14 +48,16 @@ RUNS = (2, 8, 32)
 DISCOUNT = 0.9
 #: So many of a text's most toxic words, wherever they stand.
 TOPS = (1, 3, 6)
-#: Bigrams are counted between words of at least this share of all words, of which there are 1/FREQUENT at most.
-FREQUENT = 1e-3
+PAIRS = 1 << 22
+#: Weight of the word's evidence against one occurrence of a bigram.
+PAIR_PRIOR = 8.0
 WIDTH = len(RUNS) + len(TOPS) + 2
 CALIBRATION = 20_000
 _WORD = re.compile(r"[^\W_]+")
 #: Places of words and of each start in one array.
 _FIRST = (0, *(BUCKETS + i * STEM_BUCKETS for i in range(len(STEMS))))
-_ALL = BUCKETS + len(STEMS) * STEM_BUCKETS
+_PAIR = BUCKETS + len(STEMS) * STEM_BUCKETS
+_ALL = _PAIR + PAIRS
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose pairs a task holds before it sends them on.
 HELD = 500_000
@@ -78,6 +82,11 @@ class Hasher:
         return np.array(out, np.int64)
 
 
+def _pair_place(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Place of the bigrams of a predecessor (digest) and a word (bucket)."""
+    return (_mixed(before, word) % np.uint64(PAIRS)).astype(np.int64) + _PAIR
+
+
 def _mixed(u: np.ndarray, k: np.ndarray) -> np.ndarray:
     """64-bit digests of pairs."""
     x = (u.astype(np.uint64) * _M) ^ (k.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
@@ -87,44 +96,47 @@ def _mixed(u: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 @dataclasses.dataclass
 class Counts:
-    """By class: distinct predecessors of words and stems, occurrences of contexts, counts of bigrams."""
+    """By class: distinct predecessors of words and starts, occurrences of bigrams."""
 
     word: np.ndarray
     stem: np.ndarray
-    context: np.ndarray
     pair: np.ndarray
-    #: Row and column of each word bucket in pair; 0 for words that aren't frequent.
-    frequent: np.ndarray
 
     def __post_init__(self) -> None:
-        #: Types by class and in common, at the word level.
-        self.total = np.maximum(self.word.sum(axis=1), 1.0)
-        both = self.total.sum()
-        share = lambda x: x / self.total[:, None]
-        #: Discounted types of each start, by class, at the rate of both classes; and of both together.
-        self.start = (np.maximum(self.stem - DISCOUNT, 0) / self.total[:, None, None] * both).astype(np.float32)
-        self.start_all = np.maximum(self.stem.sum(axis=0) - DISCOUNT, 0)
-        self.unigram = share(np.maximum(self.word - DISCOUNT, 0)).astype(np.float32)
+        #: Types and bigrams by class, and what brings a class to the rate of both together.
+        self.total = total = np.maximum(self.word.sum(axis=1, dtype=float), 1.0)
+        both = total.sum()
+        rate = (both / total).astype(np.float32)
+        tokens = np.maximum(self.pair.sum(axis=1, dtype=float), 1.0)
+        pair_rate = (tokens.sum() / tokens).astype(np.float32)
+        level = lambda x, by: (np.maximum(x - DISCOUNT, 0) * by[(slice(None), *[None] * (x.ndim - 1))], np.maximum(x.sum(axis=0) - DISCOUNT, 0))
+        self.start, self.start_all = level(self.stem, rate)
+        word, word_all = level(self.word, rate)
         self.free = DISCOUNT / both
-        del self.word, self.stem
-        seen = np.maximum(self.context, 1.0)
-        self.high = np.maximum(self.pair - DISCOUNT, 0) / seen[:, :, None]
-        #: What discounting frees in each context, from both classes together.
-        self.lam = np.clip(1 - np.maximum(self.pair.sum(axis=0) - DISCOUNT, 0).sum(axis=1) / np.maximum(self.context.sum(axis=0), 1.0), 0.01, 1.0)
-
-    def differences(self, rows: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word under the toxic less that under the ordinary model."""
-        w, u = rows[1:, 0], rows[:-1, 0]
-        i, j = self.frequent[u], self.frequent[w]
-        p = []
+        self.unigram, self.unigram_all = (word / both).astype(np.float32), (word_all / both).astype(np.float32)
+        pair, pair_all = level(self.pair, pair_rate)
+        # Half precision: shares of a thousandth don't matter, nor do counts beyond some 60,000.
+        self.high, self.high_all = np.minimum(pair, 6e4).astype(np.float16), np.minimum(pair_all, 6e4).astype(np.float16)
+        del self.word, self.stem, self.pair
+
+    def ratios(self, rows: np.ndarray) -> list[np.ndarray]:
+        """By class: likelihood of each word after the word before it, over that in both classes together."""
+        w = rows[1:, 0]
+        pair = _pair_place(rows[:-1, -1], w) - _PAIR
+        out = []
         for c in (0, 1):
             ratio = np.ones(len(w))
             for k in reversed(range(len(STEMS))):
                 s = rows[1:, 1 + k]
                 ratio = (self.start[c, k][s] + PRIOR * ratio) / (self.start_all[k][s] + PRIOR)
-            low = self.unigram[c][w] + self.free * np.maximum(ratio, 1e-3)
-            p.append(np.where(i > 0, np.where(j > 0, self.high[c][i, j], 0.0) + self.lam[i] * low, low))
-        return np.log(p[1] / p[0])
+            ratio = (self.unigram[c][w] + self.free * np.maximum(ratio, 1e-3)) / (self.unigram_all[w] + self.free)
+            out.append((self.high[c][pair].astype(float) + PAIR_PRIOR * ratio) / (self.high_all[pair].astype(float) + PAIR_PRIOR))
+        return out
+
+    def differences(self, rows: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each word under the toxic less that under the ordinary model."""
+        ordinary, toxic = self.ratios(rows)
+        return np.log(toxic / ordinary)
 
 
 def statistics(d: np.ndarray, words: np.ndarray) -> list[float]:
@@ -151,7 +163,7 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataF
 
 
 def _gather(found: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums by bucket; at most BUCKETS rows by word, STEM_BUCKETS by start and (1 / FREQUENT + 1)^2 by bigram."""
+    """Sums by place; at most BUCKETS rows by word, STEM_BUCKETS by start and PAIRS by bigram."""
     return found.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns])
 
 
@@ -174,7 +186,7 @@ def _pairs(held: tuple[list, list], parts: int) -> Iterator[pa.RecordBatch]:
 
 
 def _types(t: pa.Table) -> pa.Table:
-    """(k, n, t0, t1): occurrences of each place and its distinct predecessors by class, of one part of the predecessors."""
+    """(k, t0, t1): distinct predecessors of each word and start by class, and occurrences of each bigram, of one part of the predecessors."""
     out = []
     flat = lambda name, i: t[name][i].values.to_numpy()
     for y in (0, 1):
@@ -188,8 +200,10 @@ def _types(t: pa.Table) -> pa.Table:
             k = places[:, col] + first
             each, at = np.unique(k, return_inverse=True)
             distinct = np.unique(_mixed(before, k), return_index=True)[1]
-            out.append((each, np.bincount(at, n).astype(np.int64), *[np.bincount(at[distinct], minlength=len(each)) * (c == y) for c in (0, 1)]))
-    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["k", "n", "t0", "t1"])
+            out.append((each, *[np.bincount(at[distinct], minlength=len(each)) * (c == y) for c in (0, 1)]))
+        each, at = np.unique(_pair_place(before, places[:, 0]), return_inverse=True)
+        out.append((each, *[np.bincount(at, n).astype(np.int64) * (c == y) for c in (0, 1)]))
+    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["k", "t0", "t1"])
 
 
 def count(train: DataFrame) -> Counts:
@@ -214,41 +228,14 @@ def count(train: DataFrame) -> Counts:
     src = train.select("y", F.col("text").cast("string").alias("text"))
     # A predecessor's pairs meet in one part, so that distinct pairs are counted there and the counts of all parts add up.
     got = src.mapInArrow(words, "part int, y int, before array<long>, word array<int>, n array<int>, places array<int>")
-    got = _gather(got.groupBy("part").applyInArrow(_types, "k long, n long, t0 long, t1 long"), ["n", "t0", "t1"])
-    got = got.select(F.col("k").cast("int"), *[F.col(c).cast("float") for c in ("n", "t0", "t1")]).toArrow()
+    got = _gather(got.groupBy("part").applyInArrow(_types, "k long, t0 long, t1 long"), ["t0", "t1"])
+    got = got.select(F.col("k").cast("int"), *[F.col(c).cast("float") for c in ("t0", "t1")]).toArrow()
     k = got["k"].to_numpy()
-    total = np.zeros(_ALL, np.float32)
-    total[k] = got["n"].to_numpy()
-    total = total[:BUCKETS].astype(float)
     types = np.zeros((2, _ALL), np.float32)
     for c in (0, 1):
         types[c][k] = got[f"t{c}"].to_numpy()
     del got, k
-    often = np.nonzero(total >= max(2.0, FREQUENT * total.sum()))[0]
-    place = np.zeros(BUCKETS, np.int16 if len(often) < 30_000 else np.int32)
-    place[often] = np.arange(1, len(often) + 1)
-    size = len(often) + 1
-    shared = train.sparkSession.sparkContext.broadcast(place)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, own = Hasher(), shared.value.astype(np.int64)
-        p = np.zeros((2, size * size), np.int64)
-        for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), texts(b)):
-                i = own[h(t)[:, 0]]
-                np.add.at(p[y], i[:-1] * size + i[1:], 1)
-        k = np.nonzero(p.sum(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p[0][k]), pa.array(p[1][k])], names=["k", "p0", "p1"])
-
-    got = _gather(src.mapInArrow(pairs, "k long, p0 long, p1 long"), ["p0", "p1"]).toArrow()
-    pair = np.zeros((2, size * size), np.float32)
-    for c in (0, 1):
-        pair[c][got["k"].to_numpy()] = got[f"p{c}"].to_numpy()
-    pair = pair.reshape(2, size, size)
-    context = pair.sum(axis=2)
-    # Column 0 gathers words that aren't frequent: the context's count holds them, no bigram of theirs is kept.
-    pair[:, :, 0] = 0
-    return Counts(types[:, :BUCKETS], types[:, BUCKETS:].reshape(2, len(STEMS), STEM_BUCKETS), context, pair, place)
+    return Counts(types[:, :BUCKETS], types[:, BUCKETS:_PAIR].reshape(2, len(STEMS), STEM_BUCKETS), types[:, _PAIR:])
 
 
 @dataclasses.dataclass
