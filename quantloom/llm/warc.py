@@ -1,9 +1,10 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
-Writer: pages are dealt to archives of bounded payload. An archive's dictionary is built from its own
-records, stands in a skippable frame at the archive's start, and every record is a frame of its own, so a
-reader can start at any record's offset once it has the dictionary. Of pages with equal payloads of at least
-REVISIT bytes, that of the smallest id is a response and the others are revisits that refer to it.
+Writer: a task writes archives of at most ARCHIVE payload bytes one after the other. An archive's dictionary is
+built from its first TRAIN bytes of records, stands in a skippable frame at the archive's start, and every record
+is a frame of its own, so a reader can start at any record's offset once it has the dictionary; records after the
+first TRAIN bytes go straight to the file. Of pages with equal payloads of at least REVISIT bytes, that of the
+smallest id is a response and the others are revisits that refer to it.
 
 Archives go to the folder that executors share (``spark.checkpoint.dir``), under a name of their own for
 every attempt; the manifest that the writer returns lists the archives of the attempts that succeeded, and
@@ -11,8 +12,8 @@ the reader reads those alone.
 
 Edge cases: a null html is an empty payload; null urls become the empty URI; payloads below REVISIT bytes are
 all responses; rows that repeat the smallest id of their payload are all responses; a null id comes after all
-others (with null ids alone, all are responses); an empty table gives no archive and an empty
-result; other columns are ignored.
+others (with null ids alone, all are responses); a very long page is one record, held in memory; an empty
+table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_path
 
 REVISIT = 100
-#: Payload bytes that an archive gathers before it is written; the most a writer holds, but for one page.
-ARCHIVE = 8 << 20
+#: Bytes of records that an archive holds, and those that a writer gathers for the dictionary, the most it holds, but for one page.
+ARCHIVE, TRAIN = 512 << 20, 8 << 20
+#: Digests of at least this share of all pages, of which there are 1/HOT at most, are looked up apart.
+HOT = 1e-3
 DICTIONARY = 64 << 10
 #: Bytes of each record, evenly spread slices of it, from which the dictionary is built.
 SAMPLE = 4096
@@ -47,8 +50,14 @@ def plan(pages: DataFrame) -> DataFrame:
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     keys = src.where(F.col("bytes") >= REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = keys.where("n > 1").select("digest", "first")
-    return src.join(again, "digest", "left").withColumn("is_response", F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
+    again = materialize(keys.where("n > 1"), "repeated")
+    # Payloads that many pages share go to all executors, 1/HOT rows at most; their pages aren't moved by digest.
+    many = F.lit(max(2.0, HOT * pages.count()))
+    hot = F.broadcast(again.where(F.col("n") >= many).select("digest", F.col("first").alias("hot"), F.lit(True).alias("is_hot")))
+    src = src.join(hot, "digest", "left").withColumn("key", F.when(F.col("is_hot"), F.concat("digest", F.coalesce(F.col("page_id").cast("string"), F.col("url")))).otherwise(F.col("digest")))
+    cold = again.where(F.col("n") < many).select(F.col("digest").alias("key"), F.col("first").alias("cold"))
+    src = src.join(cold, "key", "left").withColumn("first", F.coalesce("cold", "hot")).drop("key", "cold", "hot", "is_hot")
+    return src.withColumn("is_response", F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
 
 
 def record(page_id: int | None, url: str, html: str, digest: str, size: int, first: int | None, response: bool) -> bytes:
@@ -66,62 +75,72 @@ def record(page_id: int | None, url: str, html: str, digest: str, size: int, fir
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from slices of the records; None where they are too few or too small for one."""
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from slices of the records; where they are too few or too small to train one, the slices themselves."""
     samples = []
     for r in records:
         step = max(512, len(r) * 512 // SAMPLE)
         samples += [r[i : i + 512] for i in range(0, len(r), step)]
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, samples)) // 8)), samples, k=64, d=8)
-    except zstandard.ZstdError:
-        return None
-
-
-def write_archive(path: str, records: list[bytes]) -> int:
-    """Writes one archive; returns its bytes."""
-    fs, at = pafs.FileSystem.from_uri(path)
-    own = train(records)
-    packer = zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=True) if own else zstandard.ZstdCompressor(level=3)
-    total = 0
-    with fs.open_output_stream(at, compression=None) as f:
-        if own:
-            d = own.as_bytes()
-            total += f.write(struct.pack("<II", SKIPPABLE, len(d)) + d) or 8 + len(d)
+    size = sum(map(len, samples))
+    if len(samples) >= 8 and size >= 8 * 1024:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY, max(1024, size // 8)), samples, k=64, d=8)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+class Archive:
+    """An archive being written: its dictionary first, then a frame for every record."""
+
+    def __init__(self, path: str, records: list[bytes]) -> None:
+        fs, at = pafs.FileSystem.from_uri(path)
+        own = train(records)
+        self.packer = zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=True)
+        self.file = fs.open_output_stream(at, compression=None)
+        head = own.as_bytes()
+        self.file.write(struct.pack("<II", SKIPPABLE, len(head)) + head)
+        self.path, self.records, self.size, self.bytes = path, 0, 0, 8 + len(head)
         for r in records:
-            z = packer.compress(r)
-            f.write(z)
-            total += len(z)
-    return total
+            self.add(r)
+
+    def add(self, data: bytes) -> None:
+        z = self.packer.compress(data)
+        self.file.write(z)
+        self.records, self.size, self.bytes = self.records + 1, self.size + len(data), self.bytes + len(z)
+
+    def close(self) -> pa.RecordBatch:
+        self.file.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.path]), pa.array([self.records], pa.int64()), pa.array([self.bytes], pa.int64())], names=["path", "records", "bytes"])
 
 
 def write(planned: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the archives and returns the manifest (path, records, bytes), which is kept in the shared folder."""
-    where = folder or f"{shared_dir(planned.sparkSession)}/warc-{uuid.uuid4().hex}"
+    where = folder or shared_path(planned.sparkSession, "warc")
     cols = ["page_id", "url", "html", "digest", "bytes", "first", "is_response"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pafs.FileSystem.from_uri(where)
+        fs.create_dir(at, recursive=True)
         held: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            path = f"{where}/{uuid.uuid4().hex}.warc.zst"
-            fs, at = pafs.FileSystem.from_uri(where)
-            fs.create_dir(at, recursive=True)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([write_archive(path, held)], pa.int64())], names=["path", "records", "bytes"])
-
+        size, now = 0, None
         for b in batches:
             for row in zip(*(c.to_pylist() if i != 2 else c for i, c in enumerate(b.columns))):
                 r = record(row[0], row[1], row[2].as_py(), *row[3:])
-                if held and size + len(r) > ARCHIVE:
-                    yield flush()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r)
+                if now is None:
+                    held.append(r)
+                    size += len(r)
+                    if size >= TRAIN:
+                        now, held, size = Archive(f"{where}/{uuid.uuid4().hex}.warc.zst", held), [], 0
+                else:
+                    now.add(r)
+                if now is not None and now.size >= ARCHIVE:
+                    yield now.close()
+                    now = None
         if held:
-            yield flush()
+            now = Archive(f"{where}/{uuid.uuid4().hex}.warc.zst", held)
+        if now is not None:
+            yield now.close()
 
     return materialize(planned.select(*cols).mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
@@ -196,7 +215,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    paths = manifest.select("path").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2))
+    # An archive is a task's work; they are dealt out one by one.
+    paths = manifest.select("path").repartition(max(1, manifest.count()))
     return paths.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
