@@ -134,7 +134,8 @@ def test_simhash_forest_keeps_links_of_all_blocks(monkeypatch):
         fps = rng.sample(sorted(set(fps)), len(set(fps)))
         half = len(fps) // 2
         for a, b, same in ((fps, fps, True), (fps[:half], fps[half:], False)):
-            node, root = simhash._forest(np.array(a, np.uint64), np.array(b, np.uint64), 3, same)
+            a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+            node, root = simhash._within(a, np.zeros(len(a), np.int64), 3) if same else simhash._across(a, b, 3)
             group = list(range(len(fps)))
             for i in range(len(fps)):
                 for j in range(i):
@@ -158,9 +159,99 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(12)
+    one, two, three = (words_text(rng, 80) for _ in range(3))
+    rows = [(5, one, "a"), (5, two, "a"), (5, two, "a"), (5, two, "b"), (3, three, "c"), (9, one, "d"), (None, three, "e"), (None, words_text(rng, 50), "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df.repartition(parts)).collect()]
+        assert sorted(got, key=str) == sorted([(5, one), (5, two), (3, three), (None, rows[7][1])], key=str)
+
+
+def test_small_groups_are_compared_apart_and_by_population_count():
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in fps]
+    group = np.array([rng.randrange(3) for _ in fps])
+    node, root = simhash._within(np.array(fps, np.uint64), group, 3)
+    label = list(range(len(fps)))
+    for n, r in zip(node.tolist(), root.tolist()):
+        label[n] = r
+    for i in range(len(fps)):
+        for j in range(i):
+            assert (label[i] == label[j]) == (group[i] == group[j] and bin(fps[i] ^ fps[j]).count("1") <= 3)
+
+
 # --- 2 and 9
 
 
+def test_kneser_ney_equals_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(int(i % 4 == 0), " ".join(rng.choice(["alpha", "alphabet", "beta", "gamma", "delta", "delt", "vile" * (i % 4 == 0) or "mild"]) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    rows += [rows[4]] * 5 + [(0, None), (1, "")]
+    counts = toxicity.count(spark.createDataFrame(rows, "y int, text string").repartition(3))
+    pair, word, stem = (defaultdict(lambda: [0, 0]) for _ in range(3))
+    seen = set()
+    for y, t in rows:
+        before = ""
+        for w in (t or "").split():
+            pair[before, w][y] += 1
+            for place, key in [(word, w), *[(stem, (k, w[:k])) for k in toxicity.STEMS]]:
+                if (y, before, key) not in seen:
+                    seen.add((y, before, key))
+                    place[key][y] += 1
+            before = w
+    types = [sum(v[c] for v in word.values()) for c in (0, 1)]
+    tokens = [sum(v[c] for v in pair.values()) for c in (0, 1)]
+    less = lambda x: max(x - toxicity.DISCOUNT, 0)
+
+    def ratio(c, before, w):
+        r = 1.0
+        for k in reversed(toxicity.STEMS):
+            own = stem[k, w[:k]]
+            r = (less(own[c]) / types[c] * sum(types) + toxicity.PRIOR * r) / (less(sum(own)) + toxicity.PRIOR)
+        free, own = toxicity.DISCOUNT / sum(types), word[w]
+        r = (less(own[c]) / types[c] + free * max(r, 1e-3)) / (less(sum(own)) / sum(types) + free)
+        own = pair[before, w]
+        return (less(own[c]) / tokens[c] * sum(tokens) + toxicity.PAIR_PRIOR * r) / (less(sum(own)) + toxicity.PAIR_PRIOR)
+
+    text = "alpha vile beta mild unknown delta delta alphabet"
+    before, want = "", []
+    for w in text.split():
+        want.append(np.log(ratio(1, before, w) / ratio(0, before, w)))
+        before = w
+    got = counts.differences(toxicity.Hasher()(text.encode()))
+    assert np.allclose(got, want, rtol=2e-3, atol=2e-3)
+
+
+def test_ten_thousand_predecessors_are_counted_one_by_one(spark):
+    rows = [(0, " ".join(f"p{i} target" for i in range(a, a + 500))) for a in range(0, 10_000, 500)] + [(1, "p1 target")]
+    counts = toxicity.count(spark.createDataFrame(rows * 2, "y int, text string"))
+    at = toxicity.Hasher()(b"target")[1, 0]
+    # Discounted, as shares of all types of both classes.
+    assert abs(float(counts.unigram_all[at]) * toxicity.DISCOUNT / counts.free - (10_001 - toxicity.DISCOUNT)) < 1
+
+
+def test_quality_model_equals_plain_densities(spark):
+    rng = np.random.default_rng(4)
+    k = len(quality.STATISTICS)
+    x = {0: rng.normal(0, 1, (300, k)) @ rng.normal(0, 1, (k, k)) / 3, 1: rng.normal(0.7, 1.5, (200, k))}
+    rows = [(c, v.tolist()) for c in (0, 1) for v in x[c]]
+    model = quality.fit(spark.createDataFrame(rows, "y int, x array<double>").repartition(3))
+    cov = {c: np.cov(x[c].T, bias=True) for c in (0, 1)}
+    pooled = (300 * cov[0] + 200 * cov[1]) / 500
+    probe = rng.normal(0, 1, (20, k))
+    log = {}
+    for c, n in ((0, 300), (1, 200)):
+        own = min(1.0, quality.POOLED + k / (k + n))
+        s = (1 - quality.DIAGONAL) * ((1 - own) * cov[c] + own * pooled) + quality.DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(k)
+        d = probe - x[c].mean(axis=0)
+        log[c] = -0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) + np.linalg.slogdet(s)[1])
+    assert np.allclose(model.difference(probe), log[1] - log[0])
+    assert (np.argsort(model.score(probe)) == np.argsort(np.clip(log[1] - log[0], -200, 200), kind="stable")).all() or model.slope > 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -375,10 +466,14 @@ def test_warc_dictionary_stands_in_front(tmp_path):
     rng = random.Random(1)
     records = [warc.record(i, "u", words_text(rng, 200, 50), "d", 1, None, True) for i in range(60)]
     path = f"{tmp_path}/a.warc.zst"
-    size = warc.write_archive(f"file://{path}", records)
-    data = open(path, "rb").read()
-    assert len(data) == size and data[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18])
-    assert list(warc.frames(open(path, "rb"))) == records
+    for few in (1, 3, 60):
+        archive = warc.Archive(f"file://{path}", records[: few // 2 + 1])
+        for r in records[few // 2 + 1 : few]:
+            archive.add(r)
+        size = archive.close()["bytes"][0].as_py()
+        data = open(path, "rb").read()
+        assert len(data) == size and data[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18])
+        assert list(warc.frames(open(path, "rb"))) == records[:few]
     with pytest.raises(ValueError):
         list(warc.frames(__import__("io").BytesIO(data[:-3])))
 
@@ -403,6 +498,31 @@ def test_licenses_find_exact_and_edited_notices(spark):
     assert licenses.report(empty(spark)).count() == 0
 
 
+def test_license_alignment_equals_full_dynamic_programming():
+    rng = random.Random(31)
+
+    def best(a, b):
+        """Greatest score of a local alignment: match 2, word left out on one side or on both -1."""
+        row, top = [0] * (len(b) + 1), 0
+        for x in a:
+            new = [0] * (len(b) + 1)
+            for j, y in enumerate(b, 1):
+                new[j] = max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[j - 1] - 1)
+                top = max(top, new[j])
+            row = new
+        return top
+
+    for _ in range(60):
+        a = [rng.randrange(1, 9) for _ in range(rng.randrange(3, 25))]
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(1, 9))
+        n, first, last = licenses.align(np.array(a), np.array(b), 0, 40)
+        # The words matched, less what is left out between them, make up the best score.
+        inside = b[first:last]
+        assert best(a, b) == best(a, inside) and 2 * n >= best(a, b) and n <= min(len(a), len(inside))
+
+
 @pytest.mark.parametrize("line", [t for _, t in licenses.TEMPLATES if len(t) < 120])
 def test_licenses_find_each_of_a_run_of_statements(line):
     index = licenses.Index(licenses.TEMPLATES)
@@ -473,6 +593,25 @@ def test_secret_lexer_gives_a_chain_of_targets_its_literals():
     assert secrets.lexed_findings('password = tmp == other = "Zx81hh2Kq0"\n') == []
 
 
+def test_secret_lexer_reads_values_over_lines():
+    named = lambda t: [t[f.start : f.end] for f in secrets.lexed_findings(t)]
+    assert named('password = """\nZx81hh2Kq0\n"""\n') == ["Zx81hh2Kq0"]
+    assert named("db_password = '''Zx81hh2Kq0'''") == ["Zx81hh2Kq0"]
+    assert named('api_key = (\n "Zx81hh2Kq0"\n  "Ab77yy3"\n)\nx = "other999Z"\n') == ["Zx81hh2Kq0", "Ab77yy3"]
+    assert named('password = "Zx81" + \\\n "hh2Kq0"') == ["Zx81", "hh2Kq0"]
+    assert named('password =\n  "Zx81hh2Kq0"\n') == ["Zx81hh2Kq0"]
+    assert named("password: |\n  some words\nnext: 3") == []
+
+
+@pytest.mark.parametrize("text", ['k = "' + '\\"' * 500_000, 'k = ' + '"""' * 300_000 + "'", "k=" + "a" * 1_000_000, '"' * 1_000_001 + "=", "a " * 500_000 + "="])
+def test_secret_scan_of_hostile_lines_is_linear(text):
+    import time
+
+    start = time.process_time()
+    secrets.findings(text)
+    assert time.process_time() - start < 15
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = frame(spark, [*TEXTS, "password=abcdef99"]).withColumn("n_chars", F.length("text").cast("long"))
     out = secrets.redacted(df)
@@ -508,6 +647,34 @@ def test_tokenize_is_lossless(spark):
     assert out.where("n_tokens = 0").count() == 3 and pieces.tokenize(empty(spark)).count() == 0
 
 
+# --- very long texts
+
+
+def test_very_long_texts_are_read_whole(spark):
+    rng = random.Random(17)
+    long = words_text(rng, 70_000, 5000) + ' password = "Zx81hh2Kq0" Released under the MIT License.'
+    texts = [long, "x" * 300_000, long, "日本語" * 60_000, "short one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = lambda out, c: {r["doc_id"]: r[c] for r in out.collect()}
+    fps = {r["id"]: r["fp"] & 0xFFFFFFFFFFFFFFFF for r in simhash.near_duplicates(df).collect()}
+    assert fps == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[69_900:69_950]))], "item_id long, text string")
+    assert by(decontaminate.report(df, bench), "n_hit") == {0: 50, 1: 0, 2: 50, 3: 0, 4: 0}
+    sizes = [len(t.encode()) for t in texts]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in substrings.report(df).collect()}
+    assert got == {0: (sizes[0],) * 2, 1: (sizes[1],) * 2, 2: (sizes[2],) * 2, 3: (sizes[3],) * 2, 4: (sizes[4], 0)}
+    assert by(licenses.report(df), "licenses") == {0: "MIT", 1: "", 2: "MIT", 3: "", 4: ""}
+    assert by(webp.media(df), "payload_sha256") == {i: hashlib.sha256(webp.payload(t.encode())).hexdigest() for i, t in enumerate(texts)}
+    assert by(secrets.digest(secrets.scan(df)), "n_named") == {0: 1, 1: 0, 2: 1, 3: 0, 4: 0}
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.classify(df, labels), quality.classify(df, labels)):
+        scores = by(out, "score")
+        assert len(scores) == 5 and scores[0] == scores[2]
+    assert all(by(pieces.tokenize(df), "lossless").values())
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.archive(pages).collect()} == {i: (n, 0 if i == 2 else None) for i, n in enumerate(sizes)}
+
+
 # --- registered queries
 
 

@@ -327,3 +327,51 @@ def test_media_rows(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
     assert tuple(got["4"])[1:] == tuple(got["5"])[1:] == tuple(got["None"])[1:] and got["0"][1:] == got["1"][1:]
     assert webp.media(df.limit(0)).count() == 0
+
+
+def test_writer_uses_every_part_where_it_shrinks():
+    rng = random.Random(1)
+    grey = b"".join(bytes([v, v, v, 255]) for v in rng.choices(range(256), k=3000))
+    green = b"".join(bytes([(v + 3) & 255, v, rng.randrange(256), 255]) for v in rng.choices(range(256), k=3000))
+    blue = b"".join(bytes([v, rng.randrange(256), (v + 3) & 255, 255]) for v in rng.choices(range(256), k=3000))
+    palette = b"".join(rng.choices([rng.randbytes(4) for _ in range(12)], k=4000))
+    smooth = b"".join(bytes([(x * 5 + y * 3 + rng.randrange(3)) & 255, (x * 5 + rng.randrange(2)) & 255, y & 255, 255]) for y in range(128) for x in range(16))
+    line = b"the same line stands here again and again\n" * 300
+    prose = " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "consectetur"]) for _ in range(900)).encode()
+    cases = [webp.payload(c) for c in (grey, green, blue, palette, smooth, line, prose, b"a" * 5000, b"")]
+    webp.USED.clear()
+    stored = list(webp.store_all(cases))
+    assert [b"".join(i.tobytes() for i in images) for images in webp.decode_all(stored)] == cases
+    assert set(webp.USED) >= {"predictor", "cross-colour", "subtract-green", "palette", "cache", "references"}
+    assert len(stored[5]) < len(cases[5]) // 20 and len(stored[6]) < len(cases[6]) * 0.6 and len(stored[3]) < len(cases[3]) // 5
+    # What is stored doesn't depend on what stands beside it.
+    assert stored == [webp.store(c) for c in cases]
+
+
+def test_writer_round_trips_random_bytes():
+    rng = random.Random(5)
+    cases = []
+    for _ in range(150):
+        n, kinds = rng.choice([0, 1, 5, 63, 64, 65, 300, 2000, 8192, 8193, 17000]), rng.choice([1, 2, 3, 5, 17, 60, 256])
+        b = bytes(rng.choices(range(kinds), k=n))
+        if rng.random() < 0.4 and n:
+            b = (b[: rng.randint(1, 80)] * n)[:n]
+        cases.append(webp.payload(b))
+    assert [b"".join(i.tobytes() for i in images) for images in webp.decode_all(list(webp.store_all(cases)))] == cases
+
+
+def test_code_lengths_are_huffmans():
+    import heapq
+
+    rng = np.random.default_rng(2)
+    count = rng.integers(0, 50, (40, 30)) ** 2 * (rng.random((40, 30)) < 0.6)
+    lengths = webp.code_lengths(count, 15)
+    for own, got in zip(count, lengths):
+        heap = [int(c) for c in own if c]
+        cost = 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            heapq.heappush(heap, merged := heapq.heappop(heap) + heapq.heappop(heap))
+            cost += merged
+        assert len([c for c in own if c]) < 2 or (own * got).sum() == cost
+    assert (webp.code_lengths(2 ** np.arange(20)[None], 7) <= 7).all()
