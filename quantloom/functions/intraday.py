@@ -73,7 +73,7 @@ def both(*conds: X) -> X:
 @classic
 def aacb(g, b, levels=3):
     ask, bid = b.levels("ask_price", levels) / levels, b.levels("bid_price", levels) / levels
-    return g.mean(where(absolute(b.mid) <= EPS, 0, (ask - bid) / b.mid))
+    return g.mean(fill(where(absolute(b.mid) <= EPS, 0, (ask - bid) / b.mid)))
 
 
 @classic
@@ -425,7 +425,7 @@ def t1430_last_return_30m_v1(g, b, window_minutes=30):
 
 @t1430
 def t1430_liq_adj_spread_v1(g, b):
-    return g.last((b.ap - b.bp) / (b.last * root(fill(b.bv + b.av) + 1)))
+    return g.last(given(b.last > 0, (b.ap - b.bp) / (b.last * root(fill(b.bv + b.av) + 1))))
 
 
 @t1430

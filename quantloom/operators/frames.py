@@ -21,11 +21,15 @@ def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, right_order: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, right_order: str | None = None, bucket: str | None = None) -> DataFrame:
     """The last right values on or before (strictly before: strict) each left row's time.
 
     Both sides are put in one ordered window by key, so the cost is one shuffle and one sort, never a range join.
+    bucket (a unit of date_trunc) cuts long keys: windows are by key and bucket, and what stood last before a
+    bucket is carried into it from a table of one row by key and bucket.
     """
+    if bucket:
+        return _asof_in_buckets(left, right, by, on, values, strict, right_order, bucket)
     l = left.withColumn("_side", F.lit(0 if strict else 1)).withColumn("_row", F.struct(*left.columns))
     r = right.select(*by, on, F.struct(*values).alias("_value"), (F.col(right_order) if right_order else F.lit(0)).alias("_order")).withColumn("_side", F.lit(1 if strict else 0))
     both = l.select(*by, on, "_side", "_row").unionByName(r, allowMissingColumns=True)
@@ -34,6 +38,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     return out.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
+def _asof_in_buckets(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool, right_order: str | None, bucket: str) -> DataFrame:
+    l = left.withColumn("_side", F.lit(0 if strict else 1)).withColumn("_row", F.struct(*left.columns))
+    r = right.select(*by, on, F.struct(*values).alias("_value"), (F.col(right_order) if right_order else F.lit(0)).alias("_order")).withColumn("_side", F.lit(1 if strict else 0))
+    both = l.select(*by, on, "_side", "_row").unionByName(r, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, F.col(on)))
+    w = Window.partitionBy(*by, "_bucket").orderBy(on, "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+    ends = both.groupBy(*by, "_bucket").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(on, "_order"))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_bucket"])], "_carried")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_bucket"])]
+    out = inside.join(carried, same, "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    return out.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
 def merge_factors(old: DataFrame | None, new: DataFrame, keys: list[str], refresh: bool = False, overwrite: bool = False) -> DataFrame:
     """refresh: the new frame alone; overwrite: new columns in place of equal ones; else only columns that are new."""
     if old is None or refresh:

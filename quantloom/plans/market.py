@@ -90,7 +90,7 @@ def scan_snapshot_up_to(d):
 @query("orders")
 def scan_lookback_days(d):
     """Rows of the last five trading days on or before a day."""
-    return with_daily(d, f" SELECT {_text(d, 'trade_date')} AS trade_date, code, close FROM (SELECT *, dense_rank() OVER (ORDER BY trade_date DESC) AS back FROM daily WHERE trade_date <= date '1998-06-15') t WHERE back <= 5")
+    return with_daily(d, f" SELECT {_text(d, 'trade_date')} AS trade_date, code, close FROM daily WHERE trade_date IN (SELECT trade_date FROM (SELECT DISTINCT trade_date FROM daily WHERE trade_date <= date '1998-06-15') t ORDER BY trade_date DESC LIMIT 5)")
 
 
 @query("orders")
@@ -241,11 +241,13 @@ def factors_bond_stock(d):
     """premium_momentum_proxy_v1 and stock_bond_momentum_gap_v1: last rows of a bond and of its mapped stock."""
     from quantloom.sources.panel import panel_sql
 
+    # The stock of a group is one of its rows, so a window finds its values: the panel is computed once, without a join of it with itself.
+    stock = lambda c: f"max(case when code = stock then {c} end) OVER (PARTITION BY dt, stock)"
     mid = "coalesce((ask_price1 + bid_price1) / 2, open)"
     return f"""WITH panel AS ({panel_sql(d)}), ends AS (SELECT dt, code, (last - prev_bar_close) / (prev_bar_close + {num(1e-8)}) AS r, (last - {mid}) / ({mid} + {num(1e-8)}) AS m FROM panel WHERE seq = n),
-map AS (SELECT concat('S', {_text(d, "s_suppkey")}) AS code, concat('S', {_text(d, "min(s_suppkey) OVER (PARTITION BY s_nationkey)")}) AS stock FROM supplier)
-SELECT {_text(d, "b.dt")} AS dt, b.code, {rounded(f"coalesce(b.r - s.r, {num(0.0)})")} AS premium_momentum_proxy_v1, {rounded(f"coalesce(b.m - s.m, {num(0.0)})")} AS stock_bond_momentum_gap_v1
-FROM ends b LEFT JOIN map ON map.code = b.code LEFT JOIN ends s ON s.dt = b.dt AND s.code = map.stock"""
+map AS (SELECT concat('S', {_text(d, "s_suppkey")}) AS code, concat('S', {_text(d, "min(s_suppkey) OVER (PARTITION BY s_nationkey)")}) AS stock FROM supplier),
+matched AS (SELECT dt, code, r, m, {stock("r")} AS sr, {stock("m")} AS sm FROM (SELECT e.*, map.stock FROM ends e LEFT JOIN map ON map.code = e.code) t)
+SELECT {_text(d, "dt")} AS dt, code, {rounded(f"coalesce(r - sr, {num(0.0)})")} AS premium_momentum_proxy_v1, {rounded(f"coalesce(m - sm, {num(0.0)})")} AS stock_bond_momentum_gap_v1 FROM matched"""
 
 
 @query("orders")
@@ -306,8 +308,8 @@ def agg_ic_summary(d):
 @query("orders")
 def agg_newey_west(d):
     """t value of the mean with Bartlett weights: lags by a join on the day index."""
-    return with_daily(d, f"""{_ics(d)}, e AS (SELECT row_number() OVER (ORDER BY day_idx) AS i, ic - avg(ic) OVER () AS u FROM ics), k AS (SELECT count(*) AS n, cast(round(4 * power(count(*) / {num(100.0)}, {num(2 / 9)})) as int) AS lag FROM e),
-g AS (SELECT b.i - a.i AS h, sum(a.u * b.u) AS s FROM e a JOIN e b ON b.i - a.i BETWEEN 0 AND 12 GROUP BY b.i - a.i)
+    return with_daily(d, f"""{_ics(d)}, e AS (SELECT row_number() OVER (ORDER BY day_idx) AS i, ic - (SELECT avg(ic) FROM ics) AS u FROM ics), k AS (SELECT count(*) AS n, cast(round(4 * power(count(*) / {num(100.0)}, {num(2 / 9)})) as int) AS lag FROM e),
+g AS (SELECT b.i - a.i AS h, sum(a.u * b.u) AS s FROM (SELECT e.*, k.lag FROM e CROSS JOIN k) a JOIN e b ON b.i >= a.i AND b.i <= a.i + a.lag GROUP BY b.i - a.i)
 SELECT max(k.n) AS n, max(k.lag) AS lag, {rounded("(SELECT avg(ic) FROM ics) / sqrt(sum(case when h = 0 then s when h <= k.lag then 2 * (1 - h / cast(k.lag + 1 as double)) * s else 0 end) / max(k.n) / max(k.n))")} AS t FROM g CROSS JOIN k""")
 
 
@@ -337,7 +339,8 @@ def agg_prediction_metrics(d):
 @query("orders")
 def agg_correlation_matrix(d):
     """Pairs of factors: daily correlation over enough rows, averaged over the days that have it."""
-    pairs = [("f1", "f2"), ("f1", "f3"), ("f2", "f3"), ("f1", "close")]
+    names = ["f1", "f2", "f3", "close", "volume", "amount"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     day = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, trade_date, count(*) AS n, covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) AS r FROM daily WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY trade_date" for a, b in pairs)
     return with_daily(d, f", by_day AS ({day}) SELECT a, b, count(*) AS days, {rounded('avg(r)')} AS mean_corr, cast(sum(n) as bigint) AS pairs FROM by_day WHERE n >= 20 AND r IS NOT NULL GROUP BY a, b")
 
@@ -464,9 +467,9 @@ def series_qcut(d):
 @query("orders")
 def series_sample_weights(d):
     """Weights of training rows: label and liquidity multipliers, decay by age, normalised by day."""
-    return with_daily(d, f""", a AS (SELECT trade_date, day_idx, code, (case when {E.pct_rank("y", "trade_date")} >= {num(0.8)} then {num(2.0)} else {num(1.0)} end) * (case when y > 0 then {num(1.5)} else {num(1.0)} end) * (case when {E.pct_rank("amount", "trade_date")} <= {num(0.2)} then {num(0.5)} else {num(1.0)} end) AS w, max(day_idx) OVER () - day_idx AS age FROM labelled WHERE y IS NOT NULL),
+    return with_daily(d, f""", a AS (SELECT trade_date, day_idx, code, (case when {E.pct_rank("y", "trade_date")} >= {num(0.8)} then {num(2.0)} else {num(1.0)} end) * (case when y > 0 then {num(1.5)} else {num(1.0)} end) * (case when {E.pct_rank("amount", "trade_date")} <= {num(0.2)} then {num(0.5)} else {num(1.0)} end) AS w, (SELECT max(day_idx) FROM labelled WHERE y IS NOT NULL) - day_idx AS age FROM labelled WHERE y IS NOT NULL),
 b AS (SELECT *, least(greatest(w, {num(0.25)}), {num(2.5)}) AS clipped, power({num(0.5)}, age / {num(24.0)}) AS decay FROM a)
-SELECT {_text(d, "trade_date")} AS trade_date, code, {rounded("clipped / avg(clipped) OVER (PARTITION BY trade_date)")} AS day_weight, {rounded("decay / avg(decay) OVER ()")} AS age_weight FROM b""")
+SELECT {_text(d, "trade_date")} AS trade_date, code, {rounded("clipped / avg(clipped) OVER (PARTITION BY trade_date)")} AS day_weight, {rounded("decay / mean_decay")} AS age_weight FROM b CROSS JOIN (SELECT avg(decay) AS mean_decay FROM b) t""")
 
 
 @query("orders")
@@ -528,9 +531,10 @@ def set_dedup_last(d):
 
 @query("orders")
 def set_missing_days(d):
-    """Days of one table that another lacks, and days of both."""
-    a, b = "SELECT trade_date FROM daily WHERE code = 'C3'", "SELECT trade_date FROM daily WHERE code = 'C8'"
-    return with_daily(d, f" SELECT 'missing' AS kind, {_text(d, 'trade_date')} AS trade_date FROM ({a} EXCEPT {b}) x UNION ALL SELECT 'common', {_text(d, 'trade_date')} FROM ({a} INTERSECT {b}) y")
+    """Days between the first and the last of every code that it lacks, and those it has."""
+    span = f"SELECT code, {d.explode_range.format(a='first_idx', b='last_idx', as_='day_idx')} FROM (SELECT code, min(day_idx) AS first_idx, max(day_idx) AS last_idx FROM market GROUP BY code) s"
+    have = "SELECT code, day_idx FROM market"
+    return with_daily(d, f", span AS ({span}) SELECT kind, x.code, {_text(d, 'c.trade_date')} AS trade_date FROM (SELECT 'missing' AS kind, code, day_idx FROM (SELECT code, day_idx FROM span EXCEPT {have}) m UNION ALL SELECT 'common', code, day_idx FROM (SELECT code, day_idx FROM span INTERSECT {have}) n) x JOIN calendar c ON c.day_idx = x.day_idx")
 
 
 @query("region")
@@ -557,10 +561,31 @@ def screen_bins(d):
 
 @query("orders")
 def screen_stable_bins(d):
-    """Recent against whole-history return by bin: active, recently decayed, emerging or rejected."""
-    return with_daily(d, f"""{_binned(d)}, m AS (SELECT bin, day_idx, avg(y) AS y FROM binned WHERE bin IS NOT NULL GROUP BY bin, day_idx),
-s AS (SELECT bin, {_r4("avg(y)")} AS whole, {_r4("avg(case when day_idx > (SELECT max(day_idx) FROM m) - 12 then y end)")} AS recent, {_r4("avg(case when y > 0 then cast(1 as double) else cast(0 as double) end)")} AS hit FROM m GROUP BY bin)
-SELECT bin, whole, recent, hit, case when whole > 0 and recent > 0 and hit >= 0.5 then 'active' when whole > 0 and recent <= 0 then 'watch_recent_decay' when recent > 0 then 'watch_emerging' else 'reject' end AS verdict FROM s""")
+    """Twelve checks on every bin's return above the mean of all: whole history, rolling windows and the recent ones; and the verdict."""
+    window, least, recent = 12, 6, 6
+    o = "PARTITION BY bin ORDER BY day_idx"
+    w = f"{o} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW"
+    share = lambda cond, on="true": f"avg(case when {on} then case when {cond} then {num(1.0)} else {num(0.0)} end end)"
+    late = f"back <= {recent}"
+    checks = {
+        "coverage": "coverage >= 0.8", "avg_count": "avg_count >= 3", "alpha_mean": "alpha_mean > 0", "alpha_t": "alpha_t >= 0.5", "rolling_mean": "mean_pos >= 0.5", "rolling_t": "t_pos >= 0.5", "rolling_t_sig": "t_sig >= 0.05",
+        "rolling_hit": "hit_share >= 0.4", "recent_mean": "recent_mean_pos >= 0.5", "recent_t": "recent_t_pos >= 0.5", "recent_hit": "recent_hit_share >= 0.4", "max_bad": "max_bad <= 24",
+    }
+    ok = lambda names: " AND ".join(f"{n}_ok" for n in names)
+    names = list(checks)
+    return with_daily(d, f"""{_binned(d)}, m AS (SELECT bin, day_idx, {_r4("avg(y)")} AS r, count(*) AS n FROM binned WHERE bin IS NOT NULL GROUP BY bin, day_idx),
+bench AS (SELECT day_idx, {_r4("avg(y)")} AS b FROM binned GROUP BY day_idx),
+grid AS (SELECT k.bin, bench.day_idx, bench.b FROM (SELECT DISTINCT bin FROM m) k CROSS JOIN bench),
+alpha AS (SELECT g.bin, g.day_idx, {_r4("m.r - g.b")} AS alpha, m.n FROM grid g LEFT JOIN m ON m.bin = g.bin AND m.day_idx = g.day_idx),
+roll AS (SELECT *, count(alpha) OVER ({w}) AS c, {_r4(f"avg(alpha) OVER ({w})")} AS rm, stddev_samp(alpha) OVER ({w}) AS rs, avg(case when alpha > 0 then {num(1.0)} else {num(0.0)} end) OVER ({w}) AS hit FROM alpha),
+valid AS (SELECT *, {_r4("rm / nullif(rs, 0) * sqrt(cast(c as double))")} AS rt, row_number() OVER (PARTITION BY bin ORDER BY day_idx DESC) AS back, row_number() OVER ({o}) - row_number() OVER (PARTITION BY bin, case when rm <= 0 then 1 else 0 end ORDER BY day_idx) AS island FROM roll WHERE c >= {least}),
+bad AS (SELECT bin, max(len) AS max_bad FROM (SELECT bin, island, count(*) AS len FROM valid WHERE rm <= 0 GROUP BY bin, island) t GROUP BY bin),
+rolled AS (SELECT bin, {_r4(share("rm > 0"))} AS mean_pos, {_r4(share("rt > 0"))} AS t_pos, {_r4(share("rt >= 1"))} AS t_sig, {_r4(share("hit >= 0.5"))} AS hit_share, {_r4(share("rm > 0", late))} AS recent_mean_pos, {_r4(share("rt > 0", late))} AS recent_t_pos, {_r4(share("hit >= 0.5", late))} AS recent_hit_share FROM valid GROUP BY bin),
+whole AS (SELECT bin, {_r4("count(alpha) / cast(count(*) as double)")} AS coverage, {_r4("avg(cast(n as double))")} AS avg_count, {_r4("avg(alpha)")} AS alpha_mean, {_r4("avg(alpha) / nullif(stddev_samp(alpha), 0) * sqrt(cast(count(alpha) as double))")} AS alpha_t, {_r4(f"avg(case when alpha > 0 then {num(1.0)} when alpha IS NOT NULL then {num(0.0)} end)")} AS alpha_hit FROM alpha GROUP BY bin),
+every AS (SELECT w.*, coalesce(mean_pos, 0) AS mean_pos, coalesce(t_pos, 0) AS t_pos, coalesce(t_sig, 0) AS t_sig, coalesce(hit_share, 0) AS hit_share, coalesce(recent_mean_pos, 0) AS recent_mean_pos, coalesce(recent_t_pos, 0) AS recent_t_pos, coalesce(recent_hit_share, 0) AS recent_hit_share, coalesce(max_bad, 0) AS max_bad FROM whole w LEFT JOIN rolled ON rolled.bin = w.bin LEFT JOIN bad ON bad.bin = w.bin),
+checked AS (SELECT *, {", ".join(f"coalesce({c}, false) AS {n}_ok" for n, c in checks.items())} FROM every)
+SELECT bin, coverage, avg_count, alpha_mean, alpha_t, alpha_hit, mean_pos, t_pos, t_sig, hit_share, recent_mean_pos, recent_t_pos, recent_hit_share, cast(max_bad as bigint) AS max_bad, {_r4("mean_pos + t_pos + t_sig + hit_share + recent_mean_pos + recent_t_pos + recent_hit_share - 0.05 * cast(max_bad as double)")} AS rolling_score, {", ".join(f"{n}_ok" for n in names)},
+  case when {ok(names)} then 'active' when {ok(names[:8])} AND max_bad_ok then 'watch_recent_decay' when {ok(names[8:11])} then 'watch_emerging' else 'reject' end AS verdict FROM checked""")
 
 
 @query("orders")
@@ -571,9 +596,10 @@ def live_coverage_calendar(d):
 
 @query("orders")
 def live_backfill_days(d):
-    """Days whose panel, label or factor partition is missing, and the span to rebuild."""
-    part = lambda name, cond: f"SELECT '{name}' AS kind, k.trade_date FROM calendar k WHERE NOT EXISTS (SELECT 1 FROM daily x WHERE x.trade_date = k.trade_date AND {cond})"
-    return with_daily(d, f", gaps AS ({part('panel', 'x.code = ' + chr(39) + 'C3' + chr(39))} UNION ALL {part('label', 'x.code = ' + chr(39) + 'C9' + chr(39) + ' and x.sell_twap is not null')}) SELECT kind, count(*) AS n, {_text(d, 'min(trade_date)')} AS first, {_text(d, 'max(trade_date)')} AS last FROM gaps GROUP BY kind")
+    """Days between the first and the last of every code whose panel, factor or label row is missing, and the span to rebuild."""
+    span = f"SELECT code, {d.explode_range.format(a='first_idx', b='last_idx', as_='day_idx')} FROM (SELECT code, min(day_idx) AS first_idx, max(day_idx) AS last_idx FROM market GROUP BY code) s"
+    part = lambda name, cond: f"SELECT '{name}' AS kind, code, day_idx FROM (SELECT code, day_idx FROM span EXCEPT SELECT code, day_idx FROM market WHERE {cond}) {name}_gap"
+    return with_daily(d, f", span AS ({span}), gaps AS ({part('panel', '1 = 1')} UNION ALL {part('factor', 'f1 IS NOT NULL')} UNION ALL {part('label', 'sell_twap IS NOT NULL')}) SELECT kind, code, count(*) AS n, {_text(d, 'min(c.trade_date)')} AS first, {_text(d, 'max(c.trade_date)')} AS last FROM gaps g JOIN calendar c ON c.day_idx = g.day_idx GROUP BY kind, code")
 
 
 # --- arrays
@@ -640,9 +666,19 @@ def portfolio_bin_backtest(d):
 
 @query("orders")
 def screen_walk_forward(d):
-    """Checks on the returns of a selection: mean, ratio, drawdown, days; active, watched or rejected."""
+    """Seven checks on the returns of a selection and those above the mean of all: active, watched or rejected, and the bins."""
     o = "ORDER BY day_idx"
-    return with_daily(d, f"{_returns(d)}, v AS (SELECT *, {E.growth('r', o)} AS nav FROM returns), w AS (SELECT *, nav / max(nav) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM v), a AS (SELECT count(*) AS days, {_r4('avg(r)')} AS mean, {_r4('avg(r) / nullif(stddev_samp(r), 0)')} AS ratio, {_r4('min(dd)')} AS dd FROM w) SELECT days, mean, ratio, dd, days >= 24 AS days_ok, mean > 0 AS mean_ok, ratio > 0.1 AS ratio_ok, dd > -0.5 AS dd_ok, case when days >= 24 and mean > 0 and ratio > 0.1 and dd > -0.5 then 'active' when days >= 24 and ratio > 0.1 then 'watch_low_abs_ret' else 'reject' end AS verdict FROM a")
+    checks = {"full_bin_count": "short_days <= 0.2 * days", "ret_total": "ret_total >= 0", "alpha_ret_total": "alpha_ret_total >= 0", "sharpe": "sharpe >= 0.5", "alpha_sharpe": "alpha_sharpe >= 0.5", "win_rate": "win_rate >= 0.5", "maxdd": "maxdd >= -0.3"}
+    ok = lambda names: " AND ".join(f"{n}_ok" for n in names)
+    sharpe = lambda x: f"avg({x}) / nullif(stddev_samp({x}), 0) * sqrt({num(252.0)})"
+    return with_daily(d, f"""{_returns(d)}{_binned(d)}, bins AS (SELECT trade_date, count(DISTINCT bin) AS bins FROM binned GROUP BY trade_date),
+bench AS (SELECT day_idx, {_r4("avg(y)")} / 100 AS b FROM labelled WHERE y IS NOT NULL GROUP BY day_idx),
+v AS (SELECT r.day_idx, r.r, r.r - coalesce(bench.b, 0) AS a, {E.growth("r.r", "ORDER BY r.day_idx")} AS nav FROM returns r LEFT JOIN bench ON bench.day_idx = r.day_idx),
+w AS (SELECT *, nav / max(nav) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM v),
+s AS (SELECT count(*) AS days, {_r4("exp(sum(ln(1 + r))) - 1")} AS ret_total, {_r4("exp(sum(ln(1 + a))) - 1")} AS alpha_ret_total, {_r4(sharpe("r"))} AS sharpe, {_r4(sharpe("a"))} AS alpha_sharpe, {_r4("avg(case when r > 0 then cast(1 as double) else cast(0 as double) end)")} AS win_rate, {_r4("min(dd)")} AS maxdd FROM w),
+f AS (SELECT cast(sum(case when bins < 5 then 1 else 0 end) as bigint) AS short_days FROM bins),
+checked AS (SELECT s.*, f.short_days, {", ".join(f"coalesce({c}, false) AS {n}_ok" for n, c in checks.items())} FROM s CROSS JOIN f)
+SELECT *, case when {ok(checks)} then 'active' when {ok(["alpha_ret_total", "sharpe", "maxdd"])} then 'watch_low_abs_ret' else 'reject' end AS verdict FROM checked""")
 
 
 @query("orders")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.dialect import SPARK, num
-from quantloom.operators import frames
+from quantloom.functions.dialect import DUCKDB, SPARK, num
+from quantloom.operators import frames, neutral
 from quantloom.plans import market
 from quantloom.plans.factors import register
 from quantloom.sources.panel import panel
@@ -23,7 +23,36 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def operator_neutralise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals of two factors on two exposures, by day."""
     out = frames.neutralise(_labelled(spark, sf_dir), ["f1", "f2"], ["close", "volume"])
-    return out.select(F.col("trade_date").cast("string").alias("trade_date"), "code", F.round("f1", 4).alias("f1"), F.round("f2", 4).alias("f2"))
+    return out.select(F.col("trade_date").cast("string").alias("trade_date"), "code", *[F.round(F.nanvl(f, F.lit(None).cast("double")) + 1.234e-3, 1).alias(f) for f in ("f1", "f2")])
+
+
+def _neutralised() -> str:
+    """Two exposures in closed form: residuals of the ridge on standardised columns, by day."""
+    d, x, z = DUCKDB, "close", "volume"
+    parts, joins = [], []
+    for f in ("f1", "f2"):
+        parts.append(f"""m_{f} AS (SELECT trade_date, count(*) AS n, avg({f}) AS mf, avg({x}) AS mx, avg({z}) AS mz, greatest(stddev_pop({x}), 1e-12) AS sx, greatest(stddev_pop({z}), 1e-12) AS sz, var_pop({x}) AS vx, var_pop({z}) AS vz,
+  covar_pop({x}, {z}) AS cxz, covar_pop({x}, {f}) AS cx, covar_pop({z}, {f}) AS cz FROM labelled WHERE {f} IS NOT NULL AND {x} IS NOT NULL AND {z} IS NOT NULL GROUP BY trade_date),
+n_{f} AS (SELECT *, n * vx / sx / sx + 1e-8 AS a, n * vz / sz / sz + 1e-8 AS c, n * cxz / sx / sz AS b, n * cx / sx AS p, n * cz / sz AS q FROM m_{f}),
+w_{f} AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS wx, (q * a - p * b) / (a * c - b * b) AS wz FROM n_{f})""")
+        joins.append(f"LEFT JOIN w_{f} ON w_{f}.trade_date = l.trade_date")
+    res = lambda f: f"round(case when w_{f}.n >= 5 then (l.{f} - w_{f}.mf) - w_{f}.wx * (l.{x} - w_{f}.mx) / w_{f}.sx - w_{f}.wz * (l.{z} - w_{f}.mz) / w_{f}.sz end + 1.234e-3, 1) AS {f}"
+    return market.with_daily(d, f", {', '.join(parts)} SELECT cast(l.trade_date as varchar) AS trade_date, l.code, {res('f1')}, {res('f2')} FROM labelled l {' '.join(joins)}")
+
+
+def operator_neutralise_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of two factors on the price of the trading day before; rows without it, and short days, keep their values."""
+    df = _labelled(spark, sf_dir)
+    prices = spark.sql(market.with_daily(SPARK, " SELECT trade_date, code, close FROM daily"))
+    n = neutral.Neutraliser([neutral.Exposure("price", "daily", "close", lag=1), neutral.Exposure("gone", "absent", "close")], "ols", min_count=30)
+    out = n.apply(df.select(F.col("trade_date").cast("timestamp").alias("dt"), "code", "f1", "f2"), ["f1", "f2"], {"daily": prices}, prices.select("trade_date").distinct())
+    return out.select(F.to_date("dt").cast("string").alias("trade_date"), "code", *[F.round(F.nanvl(f, F.lit(None).cast("double")) + 1.234e-3, 1).alias(f) for f in ("f1", "f2")])
+
+
+def _neutralised_lagged() -> str:
+    res = lambda f: f"round(case when n_{f} >= 30 and x is not null and {f} is not null then {f} - m_{f} - c_{f} / v_{f} * (x - x_{f}) else {f} end + 1.234e-3, 1) AS {f}"
+    one = lambda f: ", ".join(f"{a} FILTER ({f} IS NOT NULL AND x IS NOT NULL) OVER (PARTITION BY trade_date) AS {b}_{f}" for a, b in ((f"count(*)", "n"), (f"avg({f})", "m"), ("avg(x)", "x"), ("var_pop(x)", "v"), (f"covar_pop(x, {f})", "c")))
+    return market.with_daily(DUCKDB, f", e AS (SELECT l.trade_date, l.code, l.f1, l.f2, p.close AS x FROM labelled l LEFT JOIN market p ON p.code = l.code AND p.day_idx = l.day_idx - 1), s AS (SELECT *, {one('f1')}, {one('f2')} FROM e) SELECT cast(trade_date as varchar) AS trade_date, code, {res('f1')}, {res('f2')} FROM s")
 
 
 def operator_turnover_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +90,7 @@ def operator_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The DataFrame form of the as-of join."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 20).alias("k"), "ts", F.col("value").alias("quote"), "event_id")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 20).alias("k"), F.col("o_orderdate").alias("ts"), "o_orderkey")
-    return frames.asof_join(o, e, ["k"], "ts", ["quote"], right_order="event_id").select("o_orderkey", "k", "quote")
+    return frames.asof_join(o, e, ["k"], "ts", ["quote"], right_order="event_id", bucket="month").select("o_orderkey", "k", "quote")
 
 
 _ASOF = """WITH e AS (SELECT user_id % 20 AS k, ts, value AS quote, event_id FROM events), o AS (SELECT o_custkey % 20 AS k, o_orderdate AS ts, o_orderkey FROM orders)
@@ -88,7 +117,7 @@ _SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTI
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, sid"""
 
-_QUERIES = [operator_neutralise, operator_turnover_selection, operator_rolling_linear_score, operator_pca, operator_greedy_dedupe, operator_asof_join, stream_windowed, stream_sessions]
+_QUERIES = [operator_neutralise, operator_neutralise_lagged, operator_turnover_selection, operator_rolling_linear_score, operator_pca, operator_greedy_dedupe, operator_asof_join, stream_windowed, stream_sessions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"operator_asof_join": _ASOF, "stream_windowed": _WINDOWED, "stream_sessions": _SESSIONS}
+    return {"operator_neutralise": _neutralised(), "operator_neutralise_lagged": _neutralised_lagged(), "operator_asof_join": _ASOF, "stream_windowed": _WINDOWED, "stream_sessions": _SESSIONS}

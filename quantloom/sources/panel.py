@@ -86,10 +86,10 @@ def from_ticks(ticks: DataFrame, dt: str = "dt", code: str = "code", time: str =
     """A panel from any tick table: last row by (dt, code, time), numbered in order of time, with the columns factors rely on.
 
     ticks has last, pre_close, open, high, low, volume, amount, num_trades and book levels as far as the factors
-    that will be computed need them. order breaks ties of time (the greatest stays). One exchange, one sort.
+    that will be computed need them. order breaks ties of time (the greatest stays), and beyond it the greatest values, column by column. One exchange, one sort.
     """
     df = canonical(ticks).withColumnsRenamed({dt: "dt", code: "code"})
-    newest = Window.partitionBy("dt", "code", time).orderBy(F.desc(order)) if order else Window.partitionBy("dt", "code", time).orderBy(F.lit(0))
+    newest = Window.partitionBy("dt", "code", time).orderBy(*[F.desc(c) for c in ([order] if order else [])], *[F.desc(c) for c in df.columns])
     df = df.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
     by, every = Window.partitionBy("dt", "code").orderBy(time), Window.partitionBy("dt", "code")
     df = df.withColumn("sec", (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("long")).withColumn("seq", F.row_number().over(by))

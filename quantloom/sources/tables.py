@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,10 @@ def read_all(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def write_by_date(df: DataFrame, root: str, table: str, date_col: str = "trade_date", overwrite: bool = False) -> None:
-    """One partition by day, in as many files as a day needs. Without overwrite, days that are there already stay."""
+    """One partition by day, in as many files as a day needs. Without overwrite, days that are there already stay.
+
+    Rows are brought together by day; adaptive execution splits a day that is too large for one task and joins small ones.
+    """
     path = f"{root}/{table}"
     spark = df.sparkSession
     if not overwrite:
@@ -34,11 +38,14 @@ def write_by_date(df: DataFrame, root: str, table: str, date_col: str = "trade_d
                 raise
         else:
             df = df.join(have, date_col, "left_anti")
-    df.repartition(date_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
+    df.hint("rebalance", F.col(date_col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
 
 
 def upsert_by_date(df: DataFrame, root: str, table: str, keys: Iterable[str], date_col: str = "trade_date") -> None:
-    """Replaces rows of equal keys and keeps the others, in the days that df has. The old rows are read before the days are rewritten."""
+    """Replaces rows of equal keys and keeps the others, in the days that df has. The old rows are read before the days are rewritten.
+
+    Of new rows of one key that with the greatest values, column by column, stays.
+    """
     from quantloom.operators.frames import dedup_last
 
     path = f"{root}/{table}"
@@ -48,13 +55,16 @@ def upsert_by_date(df: DataFrame, root: str, table: str, keys: Iterable[str], da
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        write_by_date(dedup_last(df.withColumn("_source", F.lit(1)), [*keys, date_col], "_source").drop("_source"), root, table, date_col, True)
+        write_by_date(dedup_last(df, [*keys, date_col], F.struct(*df.columns)), root, table, date_col, True)
         return
     touched = old.join(df.select(date_col).distinct(), date_col, "left_semi")
     both = touched.withColumn("_source", F.lit(0)).unionByName(df.withColumn("_source", F.lit(1)), allowMissingColumns=True)
-    staged = f"{root}/_staged_{table}"
-    dedup_last(both, [*keys, date_col], "_source").drop("_source").write.mode("overwrite").parquet(staged)
-    write_by_date(spark.read.parquet(staged), root, table, date_col, True)
+    staged = f"{root}/_staged_{table}_{uuid.uuid4().hex}"
+    order = F.struct("_source", *[c for c in both.columns if c != "_source"])
+    dedup_last(both, [*keys, date_col], order).drop("_source").write.parquet(staged)
+    write_by_date(spark.read.schema(both.drop("_source").schema).parquet(staged), root, table, date_col, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def latest_date(df: DataFrame, date_col: str = "trade_date"):
@@ -87,14 +97,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     from quantloom.operators.frames import dedup_last
 
     raw = spark.read.option("header", True).schema("trade_date date, code string, score double").csv(path)
-    numbered = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.struct("_file", F.monotonically_increasing_id()))
+    # Place of a row: file, block of it, and the order within the block, which one task reads.
+    numbered = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.struct("_file", F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     return dedup_last(numbered.where("score is not null"), ["trade_date", "code"], "_at").drop("_at", "_file")
 
 
 def write_scores(df: DataFrame, path: str, overwrite: bool = True) -> None:
     """One folder of CSV files by day."""
     out = df.select("trade_date", "code", "score").withColumn("day", F.date_format("trade_date", "yyyyMMdd"))
-    out.repartition("day").write.mode("overwrite" if overwrite else "append").option("header", True).partitionBy("day").csv(path)
+    out.hint("rebalance", F.col("day")).write.mode("overwrite" if overwrite else "append").option("header", True).partitionBy("day").csv(path)
 
 
 def read_sql(spark: SparkSession, url: str, table: str, start: str | None = None, end: str | None = None, date_col: str | None = None, **options: str) -> DataFrame:
