@@ -48,7 +48,10 @@ RUNS = (2, 8, 32)
 DISCOUNT = 0.9
 #: So many of a text's most toxic words, wherever they stand.
 TOPS = (1, 3, 6)
-PAIRS = 1 << 22
+#: Places of bigrams, in shards by the shortest start of the word and SALT classes of the word before it.
+PAIRS, SHARDS, SALT = 1 << 22, 1 << 10, 32
+#: Bits of the filter by which texts without a label are left out before the join.
+FILTER = 1 << 24
 #: Weight of the word's evidence against one occurrence of a bigram.
 PAIR_PRIOR = 8.0
 WIDTH = len(RUNS) + len(TOPS) + 2
@@ -56,11 +59,10 @@ CALIBRATION = 20_000
 _WORD = re.compile(r"[^\W_]+")
 #: Places of words and of each start in one array.
 _FIRST = (0, *(BUCKETS + i * STEM_BUCKETS for i in range(len(STEMS))))
-_PAIR = BUCKETS + len(STEMS) * STEM_BUCKETS
-_ALL = _PAIR + PAIRS
+_ALL = BUCKETS + len(STEMS) * STEM_BUCKETS
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose pairs a task holds before it sends them on.
-HELD = 500_000
+HELD = 1_000_000
 
 
 class Hasher:
@@ -82,9 +84,16 @@ class Hasher:
         return np.array(out, np.int64)
 
 
-def _pair_place(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Place of the bigrams of a predecessor (digest) and a word (bucket)."""
-    return (_mixed(before, word) % np.uint64(PAIRS)).astype(np.int64) + _PAIR
+def _shard(before: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Shard of the bigrams of a predecessor (digest) and a word (bucket of its shortest start)."""
+    salt = (_mixed(before, np.zeros(1, np.int64)) % np.uint64(SALT)).astype(np.int64)
+    return (_mixed(start, salt) % np.uint64(SHARDS)).astype(np.int64)
+
+
+def _pair_place(before: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Place of the bigrams of a predecessor (digest) and a word (bucket, and that of its shortest start)."""
+    room = PAIRS // SHARDS
+    return _shard(before, start) * room + (_mixed(before, word) % np.uint64(room)).astype(np.int64)
 
 
 def _mixed(u: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -122,7 +131,7 @@ class Counts:
     def ratios(self, rows: np.ndarray) -> list[np.ndarray]:
         """By class: likelihood of each word after the word before it, over that in both classes together."""
         w = rows[1:, 0]
-        pair = _pair_place(rows[:-1, -1], w) - _PAIR
+        pair = _pair_place(rows[:-1, -1], w, rows[1:, len(STEMS)])
         out = []
         for c in (0, 1):
             ratio = np.ones(len(w))
@@ -159,41 +168,54 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataF
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
     src = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Most texts have no label: a bitmap of hashed ids (FILTER bits, FILTER / 64 rows at most) spares moving them.
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    marks = use.where("doc_id is not null").groupBy(F.shiftright(place("doc_id"), 6).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER}) & 63 as int)))").alias("_bits"))
+    src = src.join(F.broadcast(marks), F.shiftright(place("doc_id"), 6) == F.col("_word"))
+    src = src.where(F.expr(f"shiftright(_bits, cast(pmod(xxhash64(doc_id), {FILTER}) & 63 as int)) & 1L = 1L")).select("doc_id", "text")
     return src.join(use.hint("shuffle_hash"), "doc_id").select("y", part.alias("part"), "doc_id", "text")
 
 
 def _gather(found: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums by place; at most BUCKETS rows by word, STEM_BUCKETS by start and PAIRS by bigram."""
-    return found.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns])
+    """Sums by place, at most BUCKETS rows by word and STEM_BUCKETS by start, and a row of lists by part with its bigrams, PAIRS at most."""
+    return found.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns], *[F.first(c).alias(c) for c in ("at", "c0", "c1")])
 
 
 def _pairs(held: tuple[list, list], parts: int) -> Iterator[pa.RecordBatch]:
-    """By class and part of the predecessors: each distinct (predecessor, word) pair and its occurrences, words as rows of places."""
+    """By class and part of the shards: each distinct (predecessor, word) pair and its occurrences.
+
+    Pairs are ordered by predecessor, which stands once with the number of its pairs; words are rows of places.
+    """
     for y, rows in enumerate(held):
         if not rows:
             continue
         r = np.concatenate(rows)
         _, at, n = np.unique(_mixed(r[:, -1], r[:, -2]), return_index=True, return_counts=True)
         r = r[at]
-        part = (_mixed(r[:, -1], np.zeros(1, np.int64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        for own in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
-            if not len(own):
-                continue
-            _, first, word = np.unique(r[own, -2], return_index=True, return_inverse=True)
+        part = _shard(r[:, -1], r[:, len(STEMS)]) % parts
+        order = np.lexsort((r[:, 0], r[:, -1], part))
+        r, n, part = r[order], n[order], part[order]
+        edge = np.nonzero(np.diff(part))[0] + 1
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(r)]):
+            own = r[lo:hi]
+            head = np.nonzero(np.concatenate([[True], np.diff(own[:, -1]) != 0]))[0]
+            _, first, word = np.unique(own[:, -2], return_index=True, return_inverse=True)
             column = lambda v, kind: pa.array([v.astype(kind)], pa.list_(pa.from_numpy_dtype(kind)))
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])], pa.int32()), pa.array([y], pa.int32()), column(r[own, -1], np.int64), column(word, np.int32), column(n[own], np.int32), column(r[own][first, :-2].ravel(), np.int32)], names=["part", "y", "before", "word", "n", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[lo])], pa.int32()), pa.array([y], pa.int32()), column(own[head, -1], np.int64), column(np.diff(np.append(head, len(own))), np.int32), column(word, np.int32), column(n[lo:hi], np.int32), column(own[first, :-2].ravel(), np.int32)], names=["part", "y", "before", "runs", "word", "n", "places"])
+
+
+_TYPES = "k long, t0 long, t1 long, at array<int>, c0 array<int>, c1 array<int>"
 
 
 def _types(t: pa.Table) -> pa.Table:
-    """(k, t0, t1): distinct predecessors of each word and start by class, and occurrences of each bigram, of one part of the predecessors."""
-    out = []
+    """Rows (k, t0, t1): distinct predecessors of words and starts by class; and one (at, c0, c1): occurrences of bigrams, of one part."""
+    out, bigrams = [], []
     flat = lambda name, i: t[name][i].values.to_numpy()
     for y in (0, 1):
         own = [i for i, v in enumerate(t["y"].to_pylist()) if v == y]
         if not own:
             continue
-        before = np.concatenate([flat("before", i) for i in own])
+        before = np.concatenate([np.repeat(flat("before", i), flat("runs", i)) for i in own])
         n = np.concatenate([flat("n", i) for i in own])
         places = np.concatenate([flat("places", i).reshape(-1, len(_FIRST))[flat("word", i)] for i in own])
         for col, first in enumerate(_FIRST):
@@ -201,9 +223,15 @@ def _types(t: pa.Table) -> pa.Table:
             each, at = np.unique(k, return_inverse=True)
             distinct = np.unique(_mixed(before, k), return_index=True)[1]
             out.append((each, *[np.bincount(at[distinct], minlength=len(each)) * (c == y) for c in (0, 1)]))
-        each, at = np.unique(_pair_place(before, places[:, 0]), return_inverse=True)
-        out.append((each, *[np.bincount(at, n).astype(np.int64) * (c == y) for c in (0, 1)]))
-    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["k", "t0", "t1"])
+        bigrams.append((_pair_place(before, places[:, 0], places[:, len(STEMS)]), n * (y == 0), n * (y == 1)))
+    place, *counts = (np.concatenate(c) for c in zip(*bigrams))
+    each, at = np.unique(place, return_inverse=True)
+    lists = [each, *[np.bincount(at, c).astype(np.int64) for c in counts]]
+    k, t0, t1 = (np.concatenate(c).astype(np.int64) for c in zip(*out))
+    rows = len(k)
+    some = lambda v: pa.array([None] * rows + [v.astype(np.int32)], pa.list_(pa.int32()))
+    add = lambda v, last: pa.array(np.append(v, last), pa.int64())
+    return pa.table([add(k, -1 - t["part"][0].as_py()), add(t0, 0), add(t1, 0), *map(some, lists)], names=[x.split()[0] for x in _TYPES.split(", ")])
 
 
 def count(train: DataFrame) -> Counts:
@@ -226,16 +254,19 @@ def count(train: DataFrame) -> Counts:
         yield from _pairs(held, parts)
 
     src = train.select("y", F.col("text").cast("string").alias("text"))
-    # A predecessor's pairs meet in one part, so that distinct pairs are counted there and the counts of all parts add up.
-    got = src.mapInArrow(words, "part int, y int, before array<long>, word array<int>, n array<int>, places array<int>")
-    got = _gather(got.groupBy("part").applyInArrow(_types, "k long, t0 long, t1 long"), ["t0", "t1"])
-    got = got.select(F.col("k").cast("int"), *[F.col(c).cast("float") for c in ("t0", "t1")]).toArrow()
+    # Pairs of one shard meet in one part, so distinct pairs are counted there, and the counts of all parts add up.
+    got = src.mapInArrow(words, "part int, y int, before array<long>, runs array<int>, word array<int>, n array<int>, places array<int>")
+    got = _gather(got.groupBy("part").applyInArrow(_types, _TYPES), ["t0", "t1"])
+    got = got.select(F.col("k").cast("int"), *[F.col(c).cast("float") for c in ("t0", "t1")], "at", "c0", "c1").toArrow()
+    types, pair = np.zeros((2, _ALL), np.float32), np.zeros((2, PAIRS), np.float32)
     k = got["k"].to_numpy()
-    types = np.zeros((2, _ALL), np.float32)
+    plain = k >= 0
     for c in (0, 1):
-        types[c][k] = got[f"t{c}"].to_numpy()
+        types[c][k[plain]] = got[f"t{c}"].to_numpy()[plain]
+        for i in np.nonzero(~plain)[0].tolist():
+            pair[c][got["at"][i].values.to_numpy()] = got[f"c{c}"][i].values.to_numpy()
     del got, k
-    return Counts(types[:, :BUCKETS], types[:, BUCKETS:_PAIR].reshape(2, len(STEMS), STEM_BUCKETS), types[:, _PAIR:])
+    return Counts(types[:, :BUCKETS], types[:, BUCKETS:].reshape(2, len(STEMS), STEM_BUCKETS), pair)
 
 
 @dataclasses.dataclass
