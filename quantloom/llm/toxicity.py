@@ -62,7 +62,7 @@ _FIRST = (0, *(BUCKETS + i * STEM_BUCKETS for i in range(len(STEMS))))
 _ALL = BUCKETS + len(STEMS) * STEM_BUCKETS
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose pairs a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 300_000
 
 
 class Hasher:
@@ -73,7 +73,7 @@ class Hasher:
 
     def __call__(self, data: bytes) -> np.ndarray:
         """Rows (word bucket, a bucket for each of STEMS, 64-bit digest of the word), first a row for the text's start."""
-        if len(self.known) > 500_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         known, out = self.known, [(0,) * (2 + len(STEMS))]
         for w in _WORD.findall(data.decode("utf-8", "replace").lower()):
