@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quantloom.llm import webp
@@ -338,7 +339,8 @@ def test_writer_uses_every_part_where_it_shrinks():
     smooth = b"".join(bytes([(x * 5 + y * 3 + rng.randrange(3)) & 255, (x * 5 + rng.randrange(2)) & 255, y & 255, 255]) for y in range(128) for x in range(16))
     line = b"the same line stands here again and again\n" * 300
     prose = " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "consectetur"]) for _ in range(900)).encode()
-    cases = [webp.payload(c) for c in (grey, green, blue, palette, smooth, line, prose, b"a" * 5000, b"")]
+    texts = [t.encode() for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:100] if t]
+    cases = [webp.payload(c) for c in (grey, green, blue, palette, smooth, line, prose, b"a" * 5000, b"", *texts)]
     webp.USED.clear()
     stored = list(webp.store_all(cases))
     assert [b"".join(i.tobytes() for i in images) for images in webp.decode_all(stored)] == cases
