@@ -1,18 +1,23 @@
 """Ordered-series expressions, compiled to layered window queries.
 
 An expression is text over the columns of a layer. A window function over it becomes a column of the next
-layer; equal functions become one column. Series functions see the rows of one (dt, code) in the order of
+layer; equal functions become one column, and so does what several of them are taken over. Series functions see the rows of one (dt, code) in the order of
 seq; the last row of each group then enters the cross-section, whose functions see all codes of one dt. All
-functions of a layer share a few window specifications, so Spark sorts once for each of them.
+functions of a layer share a few window specifications, so Spark sorts once for each of them. A rolling
+function that only the last row needs is taken once over the end of its group instead of at every row.
 """
 
 from __future__ import annotations
 
+import re
+
 from quantloom.functions.dialect import Dialect, num, rounded
 
 EPS = 1e-8
 #: Standard deviations up to this count as flat in rolling correlations, which are kept to nine decimals.
 FLAT = 1e-9
+_NAME = re.compile(r"\w+")
+_TAIL = "OVER (PARTITION BY dt, code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 class X:
@@ -121,6 +126,17 @@ class Series:
         self.d = dialect
         #: (phase, layer) -> expression -> column.
         self.layers: dict[tuple[int, int], dict[str, str]] = {}
+        #: The same for expressions that the windows of a layer are taken over.
+        self.lets: dict[tuple[int, int], dict[str, str]] = {}
+        #: Rolling function -> the same at a group's last row.
+        self.tails: dict[str, str] = {}
+
+    def let(self, x: X) -> X:
+        """x as a column, evaluated once a row before the windows of its layer."""
+        if _NAME.fullmatch(x.text):
+            return x
+        at = self.lets.setdefault((x.phase, x.depth), {})
+        return X(at.setdefault(x.text, f"v{x.phase}_{x.depth}_{len(at)}"), x.phase, x.depth)
 
     def _window(self, text: str, phase: int, depth: int) -> X:
         at = self.layers.setdefault((phase, depth), {})
@@ -130,9 +146,12 @@ class Series:
     def _over(self, call: str, x: X, frame: str) -> X:
         return self._window(f"{call} OVER (PARTITION BY dt, code{frame})", 0, x.depth)
 
-    @staticmethod
-    def _rows(w: int) -> str:
-        return f" ORDER BY seq ROWS BETWEEN {max(1, int(w)) - 1} PRECEDING AND CURRENT ROW"
+    def _rolling(self, fn: str, w: int, *xs: X) -> X:
+        """An aggregate, which skips missing values, of the last w rows."""
+        w = max(1, int(w))
+        text = f"{fn}({', '.join(x.text for x in xs)}) OVER (PARTITION BY dt, code ORDER BY seq ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        self.tails[text] = f"{fn}({', '.join(f'case when seq > n - {w} then {x.text} end' for x in xs)}) {_TAIL}"
+        return self._window(text, 0, max(x.depth for x in xs))
 
     def col(self, name: str) -> X:
         return X(name)
@@ -156,20 +175,20 @@ class Series:
         return join("coalesce({0}, {1})", self.lag(x, k), self.first(x))
 
     def mean(self, x: X, w: int) -> X:
-        return self._over(f"avg({x.text})", x, self._rows(w))
+        return self._rolling("avg", w, self.let(x))
 
     def sum(self, x: X, w: int) -> X:
-        return self._over(f"sum({x.text})", x, self._rows(w))
+        return self._rolling("sum", w, self.let(x))
 
     def min(self, x: X, w: int) -> X:
-        return self._over(f"min({x.text})", x, self._rows(w))
+        return self._rolling("min", w, self.let(x))
 
     def max(self, x: X, w: int) -> X:
-        return self._over(f"max({x.text})", x, self._rows(w))
+        return self._rolling("max", w, self.let(x))
 
     def std(self, x: X, w: int) -> X:
         """Sample deviation of at least two rows."""
-        return self._over(f"stddev_samp({x.text})", x, self._rows(max(2, w)))
+        return self._rolling("stddev_samp", max(2, w), self.let(x))
 
     def whole(self, fn: str, x: X) -> X:
         """An aggregate of the whole group."""
@@ -177,6 +196,7 @@ class Series:
 
     def rank(self, x: X) -> X:
         """Percentile rank within the group, ties averaged, missing values apart."""
+        x = self.let(x)
         by = f"PARTITION BY dt, code ORDER BY {x.text} NULLS LAST"
         r = self._window(f"rank() OVER ({by})", 0, x.depth)
         same = self._window(f"count(*) OVER ({by} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)", 0, x.depth)
@@ -185,14 +205,15 @@ class Series:
 
     def rank_last(self, x: X) -> X:
         """rank() of a group's last row alone: counts below and equal to it, without a sort by x."""
+        x = self.let(x)
         end = self._over(f"last_value({x.text})", x, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
         count = lambda op: self._over(f"sum(case when {x.text} {op} {end.text} then 1 else 0 end)", X("", 0, max(x.depth, end.depth)), "")
         return join(f"(case when {{0}} is not null then ({{1}} + ({{2}} + 1) * {num(0.5)}) / nullif({{3}}, 0) end)", end, count("<"), count("="), self._over(f"count({x.text})", x, ""))
 
     def ts_rank(self, x: X, w: int) -> X:
         """Percentile rank of the current value among the last w."""
-        items = self._over(f"{self.d.collect}({x.text})", x, self._rows(w))
-        n = self._over(f"count({x.text})", x, self._rows(w))
+        x = self.let(x)
+        items, n = self._rolling(self.d.collect, w, x), self._rolling("count", w, x)
         pick = lambda op: f"{self.d.size}({self.d.keep.format(list='{0}', var='v', cond=f'v {op} {{2}}')})"
         return join(f"(case when {{2}} is not null then ({pick('<')} + ({pick('=')} + 1) * {num(0.5)}) / nullif({{1}}, 0) end)", items, n, x)
 
@@ -200,10 +221,9 @@ class Series:
         return fill(self.ts_rank(x, w))
 
     def _pairs(self, x: X, y: X, w: int) -> tuple[X, X, X, X]:
-        both = join("({0} is not null and {1} is not null)", x, y)
-        a, b = join("(case when {0} then {1} end)", both, x), join("(case when {0} then {1} end)", both, y)
-        f = self._rows(max(2, w))
-        return self._over(f"count({a.text})", a, f), self._over(f"covar_pop({a.text}, {b.text})", a, f), self._over(f"stddev_pop({a.text})", a, f), self._over(f"stddev_pop({b.text})", a, f)
+        x, y, w = self.let(x), self.let(y), max(2, w)
+        a, b = (self.let(join("(case when {0} is not null then {1} end)", p, q)) for p, q in ((y, x), (x, y)))
+        return self._rolling("count", w, a), self._rolling("covar_pop", w, a, b), self._rolling("stddev_pop", w, a), self._rolling("stddev_pop", w, b)
 
     def corr(self, x: X, y: X, w: int) -> X:
         """Rolling correlation; missing where there are no two pairs or a side is flat."""
@@ -220,16 +240,17 @@ class Series:
 
     def decay(self, x: X, w: int, eps: float = EPS) -> X:
         """Linearly weighted mean of the last w rows, missing values as 0, the latest row weighing most."""
-        v = fill(x)
-        f = self._rows(w)
-        s, t, n = self._over(f"sum({v.text})", v, f), self._over(f"sum({v.text} * seq)", v, f), self._over(f"count({x.text})", x, f)
+        x = self.let(x)
+        v = self.let(fill(x))
+        s, t, n = self._rolling("sum", w, v), self._rolling("sum", w, self.let(join("({0} * seq)", v))), self._rolling("count", w, x)
         m = join(f"cast(least(seq, {int(w)}) as double)", x)
         return join(f"(case when {{3}} > 0 then round(({{1}} - (seq - {{2}}) * {{0}}) / ({{2}} * ({{2}} + 1) / 2 + {num(eps)}), 12) end)", s, t, m, n)
 
     def argmax(self, x: X, w: int) -> X:
         """Place, from 1, of the first greatest of the last w rows."""
-        items = self._over(f"{self.d.collect}({x.text})", x, self._rows(w))
-        return join(f"cast({self.d.position}({{0}}, {self.d.greatest_of}({{0}})) as double)", items)
+        items = self._rolling(self.d.collect, w, self.let(x))
+        known = self.d.keep.format(list="{0}", var="v", cond="v is not null")
+        return join(f"cast({self.d.position}({known}, {self.d.greatest_of}({{0}})) as double)", items)
 
     # Cross-section functions.
     def _across(self, call: str, x: X, order: str = "") -> X:
@@ -237,9 +258,10 @@ class Series:
 
     def cs_rank(self, x: X) -> X:
         """Percentile rank among the codes of a dt, ties averaged, missing values apart."""
+        x = self.let(X(x.text, 1, x.depth if x.phase == 1 else 0))
         by = f" ORDER BY {x.text} NULLS LAST"
         r, same, n = self._across("rank()", x, by), self._across("count(*)", x, by + " RANGE BETWEEN CURRENT ROW AND CURRENT ROW"), self._across(f"count({x.text})", x)
-        return join(f"(case when {{0}} is not null then ({{1}} + ({{2}} - 1) * {num(0.5)}) / nullif({{3}}, 0) end)", X(x.text, 1, x.depth if x.phase == 1 else 0), r, same, n)
+        return join(f"(case when {{0}} is not null then ({{1}} + ({{2}} - 1) * {num(0.5)}) / nullif({{3}}, 0) end)", x, r, same, n)
 
     def cs_scale(self, x: X) -> X:
         """Share of the sum of absolute values of a dt; 0 where that is flat."""
@@ -250,15 +272,19 @@ class Series:
         """SELECT of the outputs by (dt, code), at the last row of each group."""
         parts = [f"panel AS ({panel})"]
         now = "panel"
+        # Columns that other series columns are made from are needed at every row, the rest at the last.
+        every = {w for at in (self.layers, self.lets) for (p, _), cols in at.items() if p == 0 for t in cols for w in _NAME.findall(t)}
         for phase in (0, 1):
-            depths = sorted(k for p, k in self.layers if p == phase)
+            depths = sorted(k for p, k in [*self.layers, *self.lets] if p == phase)
             if phase == 1:
                 parts.append(f"ends AS (SELECT * FROM {now} WHERE seq = n)")
                 now = "ends"
             for k in range(max(depths, default=-1) + 1):
-                cols = self.layers.get((phase, k), {})
-                if cols:
-                    parts.append(f"layer{phase}_{k} AS (SELECT *, {', '.join(f'{t} AS {c}' for t, c in cols.items())} FROM {now})")
-                    now = f"layer{phase}_{k}"
+                given, cols = self.lets.get((phase, k), {}), self.layers.get((phase, k), {})
+                cols = {t if phase or c in every else self.tails.get(t, t): c for t, c in cols.items()}
+                for name, made in ((f"given{phase}_{k}", given), (f"layer{phase}_{k}", cols)):
+                    if made:
+                        parts.append(f"{name} AS (SELECT *, {', '.join(f'{t} AS {c}' for t, c in made.items())} FROM {now})")
+                        now = name
         value = lambda x: rounded(f"coalesce({x.text}, {num(missing)})" if missing is not None else x.text)
         return f"WITH {', '.join(parts)} SELECT cast(dt as {self.d.string}) AS dt, code, {', '.join(f'{value(x)} AS {name}' for name, x in outputs.items())} FROM {now}"
