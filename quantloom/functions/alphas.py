@@ -1,7 +1,8 @@
 """Alpha101-style factors as series expressions: one function by factor, parameters with their defaults.
 
-Missing results are 0. o is the open-like price (middle of the first book level, else open), r the return
-since the last bar's close, vw the row's average price, adv(w) the mean amount of w rows.
+Missing results are 0. o is the open-like price (middle of the first book level, else open), mid1 the middle
+alone, unless its group has none, r the return since the last bar's close, vw the row's average price, adv(w)
+the mean amount of w rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ class Columns:
         self.s = s
         c = s.col
         self.last, self.high, self.low, self.vol, self.amt = c("last"), c("high"), c("low"), c("volume"), c("amount")
-        self.mid1 = join("coalesce(({0} + {1}) / 2, {2})", c("ask_price1"), c("bid_price1"), c("open"))
-        self.o = self.mid1
+        book = join("(({0} + {1}) / 2)", c("ask_price1"), c("bid_price1"))
+        self.o = join("coalesce({0}, {1})", book, c("open"))
+        self._book = book
         self.vw = self.amt / (self.vol + EPS)
         self.r = (self.last - c("prev_bar_close")) / (c("prev_bar_close") + EPS)
         self.mid = (self.high + self.low) / 2
 
+    @property
+    def mid1(self) -> X:
+        return join("(case when {0} > 0 then {1} else {2} end)", self.s.whole("count", self._book), self._book, self.o)
+
     def adv(self, w: int) -> X:
         return self.s.mean(self.amt, w)
 
@@ -47,7 +53,7 @@ def alpha001_signed_power_v1(s, c, stddev_window=20, ts_max_window=5):
 
 @alpha
 def alpha002_corr_volume_return_v1(s, c, corr_window=6):
-    return -s.corr_last(s.rank(s.diff(log(c.vol + EPS), 2)), s.rank((c.last - c.o) / (c.o + EPS)), corr_window)
+    return -s.corr_last(s.rank(s.diff(log(where(c.vol < 0, 0, c.vol) + EPS), 2)), s.rank((c.last - c.o) / (c.o + EPS)), corr_window)
 
 
 @alpha
@@ -78,7 +84,7 @@ def alpha007_volume_breakout_v1(s, c, adv_window=20, delta_window=7, ts_rank_win
 
 @alpha
 def alpha008_open_return_momentum_v1(s, c, sum_window=5, delay_window=10):
-    prod = s.sum(c.o, sum_window) * s.sum(c.r, sum_window)
+    prod = s.sum(c.o, sum_window) * s.sum((c.last - c.o) / (c.o + EPS), sum_window)
     return -s.cs_rank(prod - s.delay(prod, delay_window))
 
 
@@ -170,7 +176,8 @@ def alpha023_high_momentum_v1(s, c, sum_window=10, delta_window=2):
 
 @alpha
 def alpha024_close_trend_filter_v1(s, c, sum_window=20, delta_window=20, ts_min_window=20, short_delta_window=3, trend_threshold=0.05):
-    rate = s.delta(s.mean(c.last, sum_window), delta_window) / (s.delay(c.last, delta_window) + EPS)
+    level = s.mean(c.last, sum_window)
+    rate = fill(s.diff(level, delta_window) / (s.lag(level, delta_window) + EPS))
     return where(rate <= trend_threshold, -(c.last - s.min(c.last, ts_min_window)), -s.delta(c.last, short_delta_window))
 
 
@@ -203,13 +210,13 @@ def alpha029_complex_rank_signal_v1(s, c, ts_min_window=2, ts_rank_window=5, del
 
 @alpha
 def alpha030_close_sign_volume_v1(s, c, delay1=1, delay2=2, delay3=3, sum_window_short=5, sum_window_long=10):
-    a, b, d = s.delay(c.last, delay1), s.delay(c.last, delay2), s.delay(c.last, delay3)
-    return (1 - s.cs_rank(sign(c.last - a) + sign(a - b) + sign(b - d))) * (s.sum(c.vol, sum_window_short) / (s.sum(c.vol, sum_window_long) + EPS))
+    a, b, d = s.lag(c.last, delay1), s.lag(c.last, delay2), s.lag(c.last, delay3)
+    return (1 - s.cs_rank(fill(sign(c.last - a)) + fill(sign(a - b)) + fill(sign(b - d)))) * (s.sum(c.vol, sum_window_short) / (s.sum(c.vol, sum_window_long) + EPS))
 
 
 @alpha
 def alpha031_close_decay_momentum_v1(s, c, delta_window=10, decay_window=10, delta_short_window=3, corr_window=12, adv_window=10):
-    slow = fill(s.decay(-s.rank(s.diff(c.last, delta_window)), decay_window))
+    slow = fill(s.decay(-s.rank(s.diff(c.last, delta_window)), decay_window, 0.0))
     tied = s.corr_last(c.adv(adv_window), c.low, corr_window)
     return s.cs_rank(slow) + s.cs_rank(-s.delta(c.last, delta_short_window)) + sign(s.cs_rank(tied) - 0.5)
 
@@ -293,8 +300,9 @@ def alpha045_close_sum_corr_v1(s, c, delay_window=5, sum_window_long=20, corr_wi
 
 
 def _trend(s, c, long, short, scale):
-    a, b = s.delay(c.last, long), s.delay(c.last, short)
-    return ((a - b) - (b - c.last)) / scale
+    """Change of slope; 0 where the group is too short."""
+    a, b = s.lag(c.last, long), s.lag(c.last, short)
+    return fill(((a - b) - (b - c.last)) / scale)
 
 
 @alpha
@@ -396,7 +404,7 @@ def alpha068_high_adv_rank_signal_v1(s, c, adv_window=15, corr_window=9, ts_rank
 def alpha072_vwap_volume_decay_ratio_v1(s, c, adv_window=20, corr_window_1=9, decay_window_1=10, ts_rank_window_1=4, ts_rank_window_2=19, corr_window_2=7, decay_window_2=3):
     a = s.rank_last(s.decay(s.corr(c.mid, c.adv(adv_window), corr_window_1), decay_window_1))
     b = s.rank_last(s.decay(s.corr(s.ts_rank(c.vw, ts_rank_window_1), s.ts_rank(c.vol, ts_rank_window_2), corr_window_2), decay_window_2))
-    return a / (b + EPS)
+    return fill(a) / (fill(b) + EPS)
 
 
 @alpha
@@ -430,4 +438,4 @@ def alpha078_low_vwap_adv_corr_v1(s, c, weight=0.352, sum_window_1=20, adv_windo
     blend = s.sum(c.low * weight + c.vw * (1 - weight), sum_window_1)
     a = s.rank_last(s.corr(blend, s.sum(c.adv(adv_window), sum_window_2), corr_window_1))
     b = s.rank_last(s.corr(s.rank(c.vw), s.rank(c.vol), corr_window_2))
-    return power(a, b)
+    return power(fill(a), fill(b))

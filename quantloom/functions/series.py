@@ -167,12 +167,12 @@ class Series:
         return self._over(f"first_value({x.text})", x, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
 
     def delta(self, x: X, k: int = 1) -> X:
-        """Difference to k rows before; 0 where the group is too short."""
-        return fill(self.diff(x, k))
+        """Difference to k rows before; 0 where the group is too short, missing where either value is."""
+        return join(f"(case when seq > {max(1, int(k))} then {{0}} else {num(0.0)} end)", self.diff(x, k))
 
     def delay(self, x: X, k: int) -> X:
         """Value k rows before; the first one where the group is too short."""
-        return join("coalesce({0}, {1})", self.lag(x, k), self.first(x))
+        return join(f"(case when seq > {max(1, int(k))} then {{0}} else {{1}} end)", self.lag(x, k), self.first(x))
 
     def mean(self, x: X, w: int) -> X:
         return self._rolling("avg", w, self.let(x))
@@ -218,24 +218,38 @@ class Series:
         return join(f"(case when {{2}} is not null then ({pick('<')} + ({pick('=')} + 1) * {num(0.5)}) / nullif({{1}}, 0) end)", items, n, x)
 
     def ts_rank_last(self, x: X, w: int) -> X:
-        return fill(self.ts_rank(x, w))
+        """Percentile rank of the latest known value among the last w; 0 where none is known."""
+        x = self.let(x)
+        items = self._rolling(self.d.collect, w, x)
+        end = self._rolling(self.d.last_of, w, x, self.let(join("(case when {0} is not null then seq end)", x)))
+        pick = lambda op: f"{self.d.size}({self.d.keep.format(list='{0}', var='v', cond=f'v {op} {{2}}')})"
+        return fill(join(f"(({pick('<')} + ({pick('=')} + 1) * {num(0.5)}) / nullif({{1}}, 0))", items, self._rolling("count", w, x), end))
 
     def _pairs(self, x: X, y: X, w: int) -> tuple[X, X, X, X]:
         x, y, w = self.let(x), self.let(y), max(2, w)
         a, b = (self.let(join("(case when {0} is not null then {1} end)", p, q)) for p, q in ((y, x), (x, y)))
         return self._rolling("count", w, a), self._rolling("covar_pop", w, a, b), self._rolling("stddev_pop", w, a), self._rolling("stddev_pop", w, b)
 
+    def _last_pairs(self, x: X, y: X, w: int) -> tuple[X, X, X, X]:
+        """_pairs() of the last w complete pairs of a group, however many gaps lie between them."""
+        x, y, w = self.let(x), self.let(y), max(2, int(w))
+        a, b = (self.let(join("(case when {0} is not null then {1} end)", p, q)) for p, q in ((y, x), (x, y)))
+        later = self.whole("count", a) - self._over(f"count({a.text})", a, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        a, b = (self.let(join(f"(case when {{0}} < {w} then {{1}} end)", later, v)) for v in (a, b))
+        call = lambda fn, *v: self._window(f"{fn}({', '.join(z.text for z in v)}) {_TAIL}", 0, a.depth)
+        return call("count", a), call("covar_pop", a, b), call("stddev_pop", a), call("stddev_pop", b)
+
     def corr(self, x: X, y: X, w: int) -> X:
         """Rolling correlation; missing where there are no two pairs or a side is flat."""
         return join(f"(case when {{0}} >= 2 and {{2}} > {num(FLAT)} and {{3}} > {num(FLAT)} then round({{1}} / ({{2}} * {{3}}), 9) end)", *self._pairs(x, y, w))
 
     def corr_last(self, x: X, y: X, w: int) -> X:
         """Correlation of the last w pairs; 0 where there are no two or a side is flat."""
-        return join(f"(case when {{0}} >= 2 and {{2}} > {num(EPS)} and {{3}} > {num(EPS)} then round({{1}} / ({{2}} * {{3}}), 9) else {num(0.0)} end)", *self._pairs(x, y, w))
+        return join(f"(case when {{0}} >= 2 and {{2}} > {num(EPS)} and {{3}} > {num(EPS)} then round({{1}} / ({{2}} * {{3}}), 9) else {num(0.0)} end)", *self._last_pairs(x, y, w))
 
     def cov_last(self, x: X, y: X, w: int) -> X:
         """Sample covariance of the last w pairs; 0 where there are no two."""
-        n, c, _, _ = self._pairs(x, y, w)
+        n, c, _, _ = self._last_pairs(x, y, w)
         return join(f"(case when {{0}} >= 2 then round({{1}} * {{0}} / nullif({{0}} - 1, 0), 9) else {num(0.0)} end)", n, c)
 
     def decay(self, x: X, w: int, eps: float = EPS) -> X:
