@@ -51,10 +51,12 @@ class Book:
         """Rows of the last minutes, both ends included; all rows for 0 or less."""
         return X(f"(sec >= end_sec - {int(minutes) * 60})") if minutes and minutes > 0 else X("(sec >= start_sec)")
 
-    def levels(self, side: str, n: int) -> X:
-        out = self.c(f"{side}1")
-        for k in range(2, n + 1):
-            out = out + self.c(f"{side}{k}")
+    def levels(self, side: str, n: int, missing: float | None = None) -> X:
+        """Sum of the first n levels; without a value for missing levels, missing where one is."""
+        every = [self.c(f"{side}{k}") if missing is None else fill(self.c(f"{side}{k}"), missing) for k in range(1, n + 1)]
+        out = every[0]
+        for x in every[1:]:
+            out = out + x
         return out
 
 
@@ -95,7 +97,7 @@ def bid_ask_spread_v1(g, b):
 
 @classic
 def depth_imbalance(g, b, levels=3):
-    bid, ask = b.levels("bid_volume", levels), b.levels("ask_volume", levels)
+    bid, ask = b.levels("bid_volume", levels, 0.0), b.levels("ask_volume", levels, 0.0)
     return g.last(given(bid + ask > 0, (bid - ask) / (bid + ask)))
 
 
@@ -105,7 +107,7 @@ def _book_slope(b, side, levels):
         mean = (b.c(f"{side}_volume{k}") + b.c(f"{side}_volume{k + 1}")) / 2
         term = absolute(b.c(f"{side}_price{k + 1}") - b.c(f"{side}_price{k}")) * mean
         up, weight = (term, mean) if up is None else (up + term, weight + mean)
-    return where(weight > 0, up / weight, 0)
+    return where(weight <= 0, 0, up / weight)
 
 
 @classic
@@ -129,19 +131,19 @@ def intraday_momentum_v1(g, b):
 
 @classic
 def microprice_bias(g, b):
-    ok = both(b.ap > 0, b.bp > 0, b.av > 0, b.bv > 0)
+    ok = both(b.ap > 0, b.bp > 0, b.bv + b.av > 0)
     return g.last(given(ok, (b.micro - b.mid) / b.mid))
 
 
 @classic(zero=False)
 def microprice_dev_liquidity_v1(g, b):
-    return g.last(given(both(b.ap > 0, b.bp > 0), where(b.bv + b.av > 0, b.last - b.micro, 0)))
+    return g.last(given(both(b.ap > 0, b.bp > 0), where(b.bv + b.av <= 0, 0, b.last - b.micro)))
 
 
 @classic
 def microprice_deviation_liq_cond_v1(g, b):
     depth = b.bv + b.av
-    return g.last(given(depth > 0, (b.last - b.micro) / (depth + 1e-8)))
+    return g.last(where(depth <= 0, 0, (b.last - b.micro) / (depth + 1e-8)))
 
 
 @classic(zero=False)
@@ -181,7 +183,7 @@ def ob_pressure_spread_recovery_v1(g, b):
 
 @classic(zero=False)
 def ob_pressure_spread_v1(g, b):
-    ok = both(b.ap > 0, b.bp > 0, b.mid > 0)
+    ok = both(b.ap > 0, b.bp > 0, b.av >= 0, b.bv >= 0, b.ap - b.bp >= 0)
     return g.last(given(ok, (b.bv - b.av) / (b.bv + b.av + 1e-8) / ((b.ap - b.bp) / b.mid + 1e-8)))
 
 
@@ -299,13 +301,13 @@ def volen(g, b, levels=5, fast=60, slow=10):
     depth = b.levels("bid_volume", levels) + b.levels("ask_volume", levels)
     tail = lambda k: X(f"(seq > n - {int(k)})")
     base = g.mean(depth, tail(slow))
-    return given(both(g.count(depth) >= max(fast, slow), base > EPS), g.mean(depth, tail(fast)) / base)
+    return given(both(g.count(depth, tail(fast)) >= fast, g.count(depth, tail(slow)) >= slow, absolute(base) > EPS), g.mean(depth, tail(fast)) / base)
 
 
 @classic
 def volume_imbalance(g, b, window_minutes=30, levels=3):
     w = b.within(window_minutes)
-    bid, ask = g.sum(b.levels("bid_volume", levels), w), g.sum(b.levels("ask_volume", levels), w)
+    bid, ask = g.sum(b.levels("bid_volume", levels, 0.0), w), g.sum(b.levels("ask_volume", levels, 0.0), w)
     return given(bid + ask > 0, (bid - ask) / (bid + ask))
 
 
@@ -328,9 +330,10 @@ def vwap(g, b, window_minutes=30):
 
 @classic(zero=False)
 def vwap_deviation_liquidity_cond_v1(g, b):
-    v = g.sum(b.vol)
-    p = given(v > 0, g.sum(b.amt) / v)
-    return given(p > 0, (g.last(b.last) - p) / p * log(g.last(b.amt) + 1))
+    whole = join("({0} is not null and {1} is not null and {2} is not null)", b.last, b.vol, b.amt)
+    v = g.sum(b.vol, whole)
+    p = given(v > 0, g.sum(b.amt, whole) / v)
+    return given(p > 0, (g.last(b.last, whole) - p) / p * log(g.last(b.amt, whole) + 1))
 
 
 @classic
@@ -350,7 +353,7 @@ def t1430_amount_accel_30m_v1(g, b, window_minutes=30):
     m = g.s.whole("sum", where(w, 1, 0))
     head = join("({0} and seq <= n - {1} + floor({1} / 2))", w, m)
     one, all_ = g.sum(b.amt, head), g.sum(b.amt, w)
-    return given(both(g.count(b.amt, w) >= 2, all_ > 0), (all_ - one - one) / all_)
+    return given(both(g.count(X("seq"), w) >= 2, all_ > 0), (all_ - fill(one) - fill(one)) / all_)
 
 
 @t1430
@@ -390,7 +393,7 @@ def t1430_close_range_position_v1(g, b):
 @t1430
 def t1430_cumulative_volume_ratio_v1(g, b, window_minutes=30, tail_minutes=5):
     v = g.sum(b.vol, b.within(window_minutes))
-    return given(v > 0, g.sum(b.vol, b.within(tail_minutes)) / v)
+    return given(v > 0, fill(g.sum(b.vol, b.within(tail_minutes))) / v)
 
 
 @t1430
@@ -404,7 +407,7 @@ def t1430_depth_imbalance_change_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
     bid, ask = b.levels("bid_volume", 3), b.levels("ask_volume", 3)
     x = given(bid + ask > 0, (bid - ask) / (bid + ask))
-    return given(g.count(b.vol, w) >= 2, g.last(x, w) - g.first(x, w))
+    return given(g.count(X("seq"), w) >= 2, g.last(x, w) - g.first(x, w))
 
 
 @t1430
@@ -832,7 +835,7 @@ def t1430_volume_sum_v1(g, b, window_minutes=30):
 def t1430_volume_weighted_avg_size_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
     v = g.sum(b.vol, w)
-    return given(v > 0, g.sum(b.vol * b.vol, w) / v)
+    return given(both(v > 0, g.count(b.vol, w) >= g.count(X("seq"), w)), g.sum(b.vol * b.vol, w) / v)
 
 
 @t1430

@@ -15,10 +15,10 @@ DAY = dt.date(2026, 1, 5)
 
 
 def panel():
-    """Groups of 1, 2, 3 and 40 ticks a minute apart, with ties, zero volumes and missing books."""
+    """Groups of 1, 2, 3, 40 and 70 ticks a minute apart, with ties, zero and missing volumes, crossed, empty and missing books."""
     rng = np.random.default_rng(5)
     rows = []
-    for code, n in (("A", 1), ("B", 2), ("C", 3), ("D", 40), ("E", 40)):
+    for code, n in (("A", 1), ("B", 2), ("C", 3), ("D", 40), ("E", 40), ("F", 70), ("G", 70), ("H", 12)):
         for seq in range(1, n + 1):
             last = round(float(rng.uniform(90, 110)), 1)
             r = {"dt": DAY, "code": code, "seq": seq, "sec": seq * 60, "last": last, "pre_close": 100.0, "open": 99.0, "high": last + 1, "low": last - 2, "volume": float(rng.integers(0, 4)) if code != "E" else 2.0, "num_trades": 1.0}
@@ -29,12 +29,85 @@ def panel():
                 r["ask_price1"] = None
             if code == "E" and seq == n:
                 r["bid_volume1"] = None
+            if code == "F" and seq == n:
+                r |= {"bid_price1": last + 2, "ask_volume1": 0.0}
+            if code == "G" and seq == 65:
+                r |= {"bid_volume3": None, "volume": None}
+            if code == "H" and seq == n:
+                r |= {"ask_volume1": 0.0, "bid_volume2": None}
             rows.append(r)
     df = pd.DataFrame(rows)
     g = df.groupby("code")
     return df.assign(prev_bar_close=g["last"].shift().fillna(df["pre_close"]), n=g["seq"].transform("count"), end_sec=g["sec"].transform("max"), start_sec=g["sec"].transform("min"))
 
 
+def classic_by_hand(g: pd.DataFrame) -> dict[str, float]:
+    """The classic factors of one group from their definitions; 0 and missing are told apart by none of the checks."""
+    z, w = g.iloc[-1], g[g["sec"] >= g["sec"].max() - 1800]
+    e, nan = 1e-8, float("nan")
+    p, f, l = w["last"], w["last"].iloc[0], z["last"]
+    bv, av, bp, ap = z.bid_volume1, z.ask_volume1, z.bid_price1, z.ask_price1
+    mid, tot = (ap + bp) / 2, bv + av
+    op = z.open if pd.isna(mid) else mid
+    micro = (bp * av + ap * bv) / tot if tot else nan
+    lv = lambda side, n: [z[f"{side}{k}"] for k in range(1, n + 1)]
+    bid3, ask3 = np.nansum(lv("bid_volume", 3)), np.nansum(lv("ask_volume", 3))
+    bidw, askw = (np.dot(lv(f"{s}_volume", 5), [5, 4, 3, 2, 1]) for s in ("bid", "ask"))
+
+    def slope(side):
+        v, x = np.array(lv(f"{side}_volume", 5), float), np.array(lv(f"{side}_price", 5), float)
+        m = (v[1:] + v[:-1]) / 2
+        return 0.0 if m.sum() <= 0 else (np.abs(np.diff(x)) * m).sum() / m.sum()
+
+    many = lambda side: np.nansum(w[[f"{side}_volume{k}" for k in (1, 2, 3)]].to_numpy(float))
+    logs, mids = np.log(p).diff().dropna(), (w.ask_price1 + w.bid_price1) / 2
+    vol, amt, rng = w.volume.sum(), w.amount.sum(), (z.high - z.low) / (z.prev_bar_close + e)
+    full = g.dropna(subset=["last", "volume", "amount"])
+    mean = full.amount.sum() / full.volume.sum() if full.volume.sum() > 0 else nan
+    depth = g[[f"{s}_volume{k}" for s in ("bid", "ask") for k in range(1, 6)]].sum(axis=1, min_count=10)
+    t = w["sec"] - w["sec"].iloc[0]
+    quiet = g[(g.volume >= 0) & (g.pre_close > 0) & (g["last"] > 0)]
+    return {
+        "amihud_illiq": abs((l - f) / f) / amt if amt > 0 else 0,
+        "amount_sum": amt,
+        "bid_ask_spread_v1": (ap - bp) / (mid + e),
+        "depth_imbalance": (bid3 - ask3) / (bid3 + ask3) if bid3 + ask3 > 0 else 0,
+        "depth_slope": (slope("ask") - slope("bid")) / mid,
+        "depth_weighted_imbalance_v1": (bidw - askw) / (bidw + askw + e),
+        "intraday_momentum_v1": (l - op) / (op + e),
+        "microprice_bias": (micro - mid) / mid,
+        "microprice_dev_liquidity_v1": l - micro,
+        "microprice_deviation_liq_cond_v1": (l - micro) / (tot + e),
+        "microprice_deviation_liq_v1": (l - micro) / l * (tot / z.volume) if z.volume > 0 else nan,
+        "microprice_deviation_v1": (l - micro) / micro,
+        "midprice_move": mids.iloc[-1] / mids.iloc[0] - 1,
+        "mom_slope": np.polyfit(t, p, 1)[0] if len(w) > 1 else 0,
+        "ob_pressure_spread_persistence_v1": (ap - bp) / l * (bv - av) / tot if ap >= bp and tot else nan,
+        "ob_pressure_spread_recovery_v1": (ap - bp) / l * (bv - av) / (tot + e),
+        "ob_pressure_spread_v1": (bv - av) / (tot + e) / ((ap - bp) / mid + e) if ap >= bp else nan,
+        "order_flow_imbalance_v1": (bv - av) / (tot + e),
+        "price_level_position_v1": (l - z.low) / (z.high - z.low + e),
+        "price_position": (l - p.min()) / np.ptp(p) if np.ptp(p) else 0,
+        "range_ratio": np.ptp(p) / l,
+        "ret_window": l / f - 1,
+        "return_skew": logs.skew() if len(logs) > 2 else 0,
+        "spread": (ap - bp) / mid,
+        "spread_depth_pressure_v1": -(ap - bp) / l * tot / z.volume if z.volume > 0 else nan,
+        "tail_volume_absorption_v1": (quiet.volume / ((quiet["last"] - quiet.pre_close).abs() / (quiet.pre_close + e) + e)).mean(),
+        "trade_intensity_v1": z.amount / (z.num_trades + e) / (z.prev_bar_close + e),
+        "turnover_rate": vol / z.num_trades,
+        "volatility": logs.std() if len(logs) > 1 else 0,
+        "volatility_scaled_return_v1": (l - op) / (op + e) / (rng + e) if rng > 0 else 0,
+        "volen": depth.iloc[-60:].mean() / depth.iloc[-10:].mean() if len(g) >= 60 and depth.iloc[-60:].notna().all() else 0,
+        "volume_imbalance": (many("bid") - many("ask")) / (many("bid") + many("ask")),
+        "volume_price_trend_v1": (l - z.prev_bar_close) / (z.prev_bar_close + e) * z.amount,
+        "volume_sum": vol,
+        "vwap": amt / vol if vol > 0 else 0,
+        "vwap_deviation_liquidity_cond_v1": (full["last"].iloc[-1] - mean) / mean * np.log(full.amount.iloc[-1] + 1) if len(full) else nan,
+        "vwap_gap": l / (amt / vol) - 1 if vol > 0 else 0,
+    }
+
+
 def by_hand(g: pd.DataFrame) -> dict[str, float]:
     """The factors of one group from their definitions."""
     z, w = g.iloc[-1], g[g["sec"] >= g["sec"].max() - 1800]
@@ -46,7 +119,14 @@ def by_hand(g: pd.DataFrame) -> dict[str, float]:
     micro = (ap * bv + bp * av) / tot
     share = pos / pos.sum() if len(pos) else pos
     ask, bid = sum(g[f"ask_price{k}"] for k in (1, 2, 3)) / 3, sum(g[f"bid_price{k}"] for k in (1, 2, 3)) / 3
-    return {
+    lean = lambda t: (sum(t[f"bid_volume{k}"] - t[f"ask_volume{k}"] for k in (1, 2, 3)) / sum(t[f"bid_volume{k}"] + t[f"ask_volume{k}"] for k in (1, 2, 3)))
+    total, half = w.amount.sum(), w.amount.iloc[: len(w) // 2].sum()
+    return classic_by_hand(g) | {
+        "t1430_amount_accel_30m_v1": (total - 2 * half) / total if len(w) > 1 and total > 0 else nan,
+        "t1430_amount_intensity_v1": z.amount / (z["last"] * z.volume) if z.volume > 0 else nan,
+        "t1430_cumulative_volume_ratio_v1": g[g["sec"] >= g["sec"].max() - 300].volume.sum() / w.volume.sum() if w.volume.sum() > 0 else nan,
+        "t1430_depth_concentration_v1": tot / sum(z[f"{s}_volume{k}"] for s in ("bid", "ask") for k in range(1, 6)),
+        "t1430_depth_imbalance_change_v1": lean(z) - lean(w.iloc[0]) if len(w) > 1 else nan,
         "aacb": ((ask - bid) / ((g.ask_price1 + g.bid_price1) / 2)).fillna(0).mean(),
         "t1430_amount_vol_ratio_v1": g.amount.sum() / (g.volume.sum() + 1e-8),
         "t1430_bid_ask_imbalance_v1": (bv - av) / tot,
@@ -78,7 +158,7 @@ def by_hand(g: pd.DataFrame) -> dict[str, float]:
         "t1430_volume_mean_v2": pos.mean() if len(pos) else nan,
         "t1430_volume_min_v2": pos.min() if len(pos) else nan,
         "t1430_volume_range_v1": np.ptp(pos) if len(pos) > 1 else nan,
-        "t1430_volume_std_dev_v1": v.std(ddof=1) if len(v) > 1 else nan,
+        "t1430_volume_std_dev_v1": w["volume"].std(),
         "t1430_volume_std_dev_v2": pos.std(ddof=1) if len(pos) > 1 else nan,
         "t1430_volume_sum_v1": pos.sum() if len(pos) else nan,
         "t1430_volume_weighted_avg_size_v1": (v * v).sum() / v.sum() if v.sum() else nan,
