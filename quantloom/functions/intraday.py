@@ -475,13 +475,13 @@ def t1430_mid_price_return_v1(g, b):
 
 @t1430
 def t1430_mid_return_30m_v1(g, b, window_minutes=30):
-    w = b.within(window_minutes)
-    return given(g.count(b.mid, w) >= 2, g.last(b.mid, w) / g.first(b.mid, w) - 1)
+    w, mid = b.within(window_minutes), given(both(b.ap > 0, b.bp > 0), b.mid)
+    return g.last(mid, w) / g.first(mid, w) - 1
 
 
 @t1430
 def t1430_ob_imbalance_flow_v1(g, b):
-    return g.last(_imbalance(b) * (b.vol / (b.bv + b.av)))
+    return g.last(_imbalance(b) * (join("nullif({0}, 0)", b.vol) / (b.bv + b.av)))
 
 
 @t1430
@@ -528,7 +528,8 @@ def t1430_pv_interaction_v1(g, b):
 @t1430
 def t1430_pv_ratio_v1(g, b):
     lo, hi, v = g.min(b.low), g.max(b.high), g.sum(b.vol)
-    return (g.last(b.last) - lo) / (hi - lo) * (v / (g.sum(b.amt) / v))
+    price = where(v > 0, g.sum(b.amt) / v, g.last(b.last))
+    return (g.last(b.last) - lo) / where(hi - lo <= 0, 1e-8, hi - lo) * (fill(v) / where(price <= 0, 1e-8, price))
 
 
 @t1430
@@ -568,7 +569,7 @@ def _whole_gap(g, b):
 
 @t1430
 def t1430_relative_strength_vwap_v1(g, b):
-    return _whole_gap(g, b)
+    return given(both(absolute(g.last(b.vol)) > 0, g.last(b.amt) >= 0), _whole_gap(g, b))
 
 
 @t1430
@@ -600,7 +601,7 @@ def t1430_spread_width_norm_v1(g, b):
 
 @t1430
 def t1430_tail_pressure_v1(g, b):
-    return g.last((b.last - b.low) / (b.high - b.low) * (b.vol / (b.amt / b.last)))
+    return g.last((b.last - b.low) / _some(b.high - b.low) * (b.vol / _some(b.amt / b.last)))
 
 
 @t1430
@@ -618,6 +619,11 @@ def _total(g, b, w):
     return g.sum(b.vol, w), g.min(b.vol, w)
 
 
+def _whole_volumes(g, b, w, least: int) -> X:
+    """Whether the window has so many rows, and a volume in each."""
+    return both(g.count(X("seq"), w) >= least, g.count(b.vol, w) >= g.count(X("seq"), w))
+
+
 def _cumulative_slope(g, b, w):
     v = given(w, b.vol)
     total = g.s._over(f"sum({v.text})", v, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
@@ -628,7 +634,7 @@ def _cumulative_slope(g, b, w):
 def t1430_volume_acceleration_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
     v, lo = _total(g, b, w)
-    return given(both(g.count(b.vol, w) >= 2, lo > 0), _cumulative_slope(g, b, w) / v)
+    return given(both(_whole_volumes(g, b, w, 2), lo > 0), _cumulative_slope(g, b, w) / v)
 
 
 @t1430
@@ -637,7 +643,7 @@ def t1430_volume_autocorrelation_v1(g, b, window_minutes=30):
     x = given(w, b.vol)
     d = x - g.s.whole("avg", x)
     n, s2 = g.count(x), g.sum(d * d)
-    return given(both(n >= 3, g.min(x) >= 0), g.sum(d * g.s.lag(d, 1)) / (n - 1) / (s2 / n))
+    return given(both(_whole_volumes(g, b, w, 3), g.min(x) >= 0), g.sum(d * g.s.lag(d, 1)) / (n - 1) / (s2 / n))
 
 
 def _gini(g, b, cond):
@@ -690,7 +696,7 @@ def t1430_volume_count_v3(g, b, window_minutes=30):
 @t1430
 def t1430_volume_cumsum_slope_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
-    return given(g.count(b.vol, w) >= 3, _cumulative_slope(g, b, w))
+    return given(_whole_volumes(g, b, w, 3), _cumulative_slope(g, b, w))
 
 
 @t1430
@@ -723,8 +729,9 @@ def t1430_volume_entropy_v2(g, b, window_minutes=30):
 
 @t1430
 def t1430_volume_gini_coefficient_v1(g, b, window_minutes=30):
-    n, v, x = _gini(g, b, both(b.within(window_minutes), b.vol >= 0))
-    return given(both(n >= 2, v > 0), x)
+    w = b.within(window_minutes)
+    _, v, x = _gini(g, b, w)
+    return given(both(_whole_volumes(g, b, w, 2), g.min(b.vol, w) >= 0, v > 0), x)
 
 
 @t1430
@@ -736,7 +743,7 @@ def t1430_volume_gini_simple_v1(g, b, window_minutes=30):
 @t1430
 def t1430_volume_hhi_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
-    return given(g.min(b.vol, w) > 0, _hhi(g, b, w))
+    return given(both(_whole_volumes(g, b, w, 2), g.min(b.vol, w) > 0), _hhi(g, b, w))
 
 
 @t1430
@@ -835,7 +842,7 @@ def t1430_volume_sum_v1(g, b, window_minutes=30):
 def t1430_volume_weighted_avg_size_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
     v = g.sum(b.vol, w)
-    return given(both(v > 0, g.count(b.vol, w) >= g.count(X("seq"), w)), g.sum(b.vol * b.vol, w) / v)
+    return given(both(_whole_volumes(g, b, w, 1), v > 0), g.sum(b.vol * b.vol, w) / v)
 
 
 @t1430
@@ -846,14 +853,14 @@ def t1430_volume_weighted_mid_v1(g, b):
 
 @t1430
 def t1430_volume_weighted_price_deviation_v1(g, b):
-    return _whole_gap(g, b)
+    return given(both(g.last(b.vol) >= 0, g.last(b.amt) >= 0), _whole_gap(g, b))
 
 
 @t1430
 def t1430_volume_weighted_time_center_v1(g, b, window_minutes=30):
     w = b.within(window_minutes)
     v, s, lo, hi = g.sum(b.vol, w), g.sum(b.vol * b.sec, w), g.min(b.sec, w), g.max(b.sec, w)
-    return given(v > 0, where(hi <= lo, 0.5, (s - v * lo) / (v * (hi - lo))))
+    return given(both(_whole_volumes(g, b, w, 1), v > 0), where(hi <= lo, 0.5, (s - v * lo) / (v * (hi - lo))))
 
 
 @t1430

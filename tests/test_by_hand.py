@@ -121,7 +121,63 @@ def by_hand(g: pd.DataFrame) -> dict[str, float]:
     ask, bid = sum(g[f"ask_price{k}"] for k in (1, 2, 3)) / 3, sum(g[f"bid_price{k}"] for k in (1, 2, 3)) / 3
     lean = lambda t: (sum(t[f"bid_volume{k}"] - t[f"ask_volume{k}"] for k in (1, 2, 3)) / sum(t[f"bid_volume{k}"] + t[f"ask_volume{k}"] for k in (1, 2, 3)))
     total, half = w.amount.sum(), w.amount.iloc[: len(w) // 2].sum()
+    l, lo, hi, wv, wa = z["last"], g.low.min(), g.high.max(), g.volume.sum(), g.amount.sum()
+    ok = w[(w.ask_price1 > 0) & (w.bid_price1 > 0) & (w["last"] > 0) & (w.ask_price1 >= w.bid_price1)]
+    gaps, mids = (ok.ask_price1 - ok.bid_price1) / ok["last"], (g.ask_price1 + g.bid_price1) / 2
+    first = (w.iloc[0].ask_price1 + w.iloc[0].bid_price1) / 2
+    avg = wa / wv if wv > 0 else l
+    whole, some = not np.isnan(v).any(), lambda x: 1e-8 if x == 0 else x
+    run = np.cumsum(v)
+    steep = np.polyfit(np.arange(len(v)), run, 1)[0] if whole and len(v) > 1 else nan
+    dv, k, ages = v - v.mean(), np.arange(1, len(v) + 1), (w["sec"] - w["sec"].min()).to_numpy(float)
+    paid, wsum = w.amount.sum(), w.volume.sum()
     return classic_by_hand(g) | {
+        "t1430_close_range_position_v1": (l - lo) / (hi - lo + 1e-8),
+        "t1430_microprice_last_gap_v1": micro / l - 1 if av > 0 and bv > 0 else nan,
+        "t1430_microprice_liquidity_v1": (micro - mid) / (ap - bp) / ((ap - bp) * z.volume) if av > 0 and bv > 0 and z.volume > 0 else nan,
+        "t1430_microprice_mid_deviation_v1": (l - micro) / micro,
+        "t1430_microprice_midpoint_dev_v1": (l - micro) / micro,
+        "t1430_mid_price_return_v1": ((mids - g.pre_close) / g.pre_close).mean(),
+        "t1430_mid_return_30m_v1": mid / first - 1,
+        "t1430_ob_imbalance_flow_v1": (bv - av) / tot * z.volume / tot if z.volume != 0 else nan,
+        "t1430_order_imbalance_v1": (bv - av) / tot,
+        "t1430_orderflow_imbalance_v1": (av - bv) / tot,
+        "t1430_price_range_30m_v1": np.ptp(w["last"]) / l,
+        "t1430_pv_interaction_v1": (l - z.low) / some(z.high - z.low) * z.amount / some(z.volume * l),
+        "t1430_pv_ratio_v1": (l - lo) / some(hi - lo) * wv / avg,
+        "t1430_range_norm_volume_v1": wv / ((hi - lo) / l + 1e-8),
+        "t1430_range_volume_norm_v1": (z.high - z.low) / l * np.log1p(z.volume),
+        "t1430_range_volume_v1": (z.high - z.low) / l * z.volume,
+        "t1430_relative_strength_vwap_v1": (l - wa / wv) / (wa / wv) if z.volume > 0 else nan,
+        "t1430_volume_weighted_price_deviation_v1": (l - wa / wv) / (wa / wv) if wv > 0 and z.volume >= 0 else nan,
+        "t1430_spread_change_30m_v1": gaps.iloc[-1] - gaps.iloc[0] if len(gaps) > 1 else nan,
+        "t1430_spread_mean_guarded_30m_v1": gaps.mean(),
+        "t1430_spread_width_norm_v1": ((g.ask_price1 - g.bid_price1) / mids).mean(),
+        "t1430_tail_pressure_v1": (l - z.low) / some(z.high - z.low) * z.volume / some(z.amount / l),
+        "t1430_vol_turnover_ratio_v1": wv / (wa / l) if wa > 0 else nan,
+        "t1430_volatility_turnover_v1": (hi - lo) / l * wa / (wv * l + 1e-8),
+        "t1430_volume_acceleration_v1": steep / v.sum() if whole and (v > 0).all() else nan,
+        "t1430_volume_cumsum_slope_v1": steep if len(v) > 2 else nan,
+        "t1430_volume_autocorrelation_v1": (dv[1:] * dv[:-1]).mean() / (dv * dv).mean() if whole and len(v) > 2 and dv.any() else nan,
+        "t1430_volume_concentration_gini_v1": np.abs(pos[:, None] - pos[None]).mean() / (2 * pos.mean()) if len(pos) > 1 else nan,
+        "t1430_volume_gini_coefficient_v1": 2 * (k * np.sort(v)).sum() / (len(v) * v.sum()) - (len(v) + 1) / len(v) if whole and len(v) > 1 and v.sum() else nan,
+        "t1430_volume_concentration_hhi_v1": (share**2).sum() if len(pos) else nan,
+        "t1430_volume_hhi_v1": (share**2).sum() if whole and len(v) > 1 and (v > 0).all() else nan,
+        "t1430_volume_count_v2": len(pos) or nan,
+        "t1430_volume_count_v3": len(pos) or nan,
+        "t1430_volume_cumsum_v1": wsum or nan,
+        "t1430_volume_entropy_v2": -(share * np.log(share)).sum() if len(pos) else nan,
+        "t1430_volume_max_v1": w.volume.max() or nan,
+        "t1430_volume_max_v2": pos.max() if len(pos) else nan,
+        "t1430_volume_mean_v1": w.volume.mean() or nan,
+        "t1430_volume_min_v1": pos.min() if len(pos) else nan,
+        "t1430_volume_moment_v1": pos.mean() if len(pos) else nan,
+        "t1430_volume_momentum_v1": wsum or nan,
+        "t1430_volume_recent_share_v1": w[w["sec"] > w["sec"].max() - 60].volume.sum() / wsum if wsum else nan,
+        "t1430_volume_weighted_mid_v1": (bp * np.nan_to_num(av) + ap * np.nan_to_num(bv)) / (np.nan_to_num(av) + np.nan_to_num(bv)),
+        "t1430_volume_weighted_time_center_v1": (nan if not (whole and wsum) else 0.5 if not ages.any() else (v * ages).sum() / (v.sum() * ages.max())),
+        "t1430_vwap_deviation_v1": (l - z.amount / some(z.volume)) / some(z.amount / some(z.volume)),
+        "t1430_window_vwap_last_gap_v1": paid / wsum / l - 1 if wsum else nan,
         "t1430_amount_accel_30m_v1": (total - 2 * half) / total if len(w) > 1 and total > 0 else nan,
         "t1430_amount_intensity_v1": z.amount / (z["last"] * z.volume) if z.volume > 0 else nan,
         "t1430_cumulative_volume_ratio_v1": g[g["sec"] >= g["sec"].max() - 300].volume.sum() / w.volume.sum() if w.volume.sum() > 0 else nan,
