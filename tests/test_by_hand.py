@@ -90,6 +90,7 @@ def classic_by_hand(g: pd.DataFrame) -> dict[str, float]:
         "price_position": (l - p.min()) / np.ptp(p) if np.ptp(p) else 0,
         "range_ratio": np.ptp(p) / l,
         "ret_window": l / f - 1,
+        "ret_open_to_time": (lambda t: t.iloc[-1] / t.iloc[0] - 1)(g[g["sec"] <= 5400]["last"]),
         "return_skew": logs.skew() if len(logs) > 2 else 0,
         "spread": (ap - bp) / mid,
         "spread_depth_pressure_v1": -(ap - bp) / l * tot / z.volume if z.volume > 0 else nan,
