@@ -23,19 +23,20 @@ class Dialect:
     when: str  # timestamp of a date {a} and {s} seconds
     split: str  # part {k} (from 1) of {x} split at {by}
     explode_range: str  # rows of integers {a}..{b} as {as_}; a select item
+    swap_pairs: bool  # whether covar_pop(a, b) and the root of covar_pop(a, a) have to stand for covar_pop(b, a) and stddev_pop(a)
 
 
 SPARK = Dialect(
     string="STRING", collect="collect_list", size="size", keep="filter({list}, {var} -> {cond})", position="array_position", greatest_of="array_max",
     days="datediff({b}, {a})", seconds="(hour({a}) * 3600 + minute({a}) * 60 + second({a}))", last_of="max_by", first_of="min_by", quantile="percentile({x}, {q})",
     to_number="try_cast({x} as double)", json="get_json_object({x}, '$.{k}')", when="(cast({a} as timestamp) + make_interval(0, 0, 0, 0, 0, 0, {s}))", split="split_part({x}, '{by}', {k})",
-    explode_range="explode(sequence({a}, {b})) AS {as_}",
+    explode_range="explode(sequence({a}, {b})) AS {as_}", swap_pairs=True,
 )
 DUCKDB = Dialect(
     string="VARCHAR", collect="list", size="len", keep="list_filter({list}, lambda {var} : {cond})", position="list_position", greatest_of="list_max",
     days="date_diff('day', {a}, {b})", seconds="(hour({a}) * 3600 + minute({a}) * 60 + second({a}))", last_of="arg_max_null", first_of="arg_min_null", quantile="quantile_cont({x}, {q})",
     to_number="try_cast({x} as double)", json="json_extract_string({x}, '$.{k}')", when="(cast({a} as timestamp) + to_seconds({s}))", split="split_part({x}, '{by}', {k})",
-    explode_range="unnest(generate_series({a}, {b})) AS {as_}",
+    explode_range="unnest(generate_series({a}, {b})) AS {as_}", swap_pairs=False,
 )
 
 

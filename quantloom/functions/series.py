@@ -10,6 +10,7 @@ function that only the last row needs is taken once over the end of its group in
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from quantloom.functions.dialect import Dialect, num, rounded
 
@@ -228,7 +229,18 @@ class Series:
     def _pairs(self, x: X, y: X, w: int) -> tuple[X, X, X, X]:
         x, y, w = self.let(x), self.let(y), max(2, w)
         a, b = (self.let(join("(case when {0} is not null then {1} end)", p, q)) for p, q in ((y, x), (x, y)))
-        return self._rolling("count", w, a), self._rolling("covar_pop", w, a, b), self._rolling("stddev_pop", w, a), self._rolling("stddev_pop", w, b)
+        return self._moments(lambda fn, *v: self._rolling(fn, w, *v), a, b)
+
+    def _moments(self, call: Callable[..., X], a: X, b: X) -> tuple[X, X, X, X]:
+        """Count, covariance and deviations of pairs by an aggregate call.
+
+        DuckDB adds (b - mean of b before) * (a - mean of a after) to covar_pop(a, b), and the same of a alone to
+        stddev_pop(a). Spark does so for covar_pop(b, a) only; its stddev_pop rounds apart. Where a side hardly moves
+        beside its level, correlations of two pairs differ from 1 by more than nine decimals hide, and later ranks with them.
+        """
+        if not self.d.swap_pairs:
+            return call("count", a), call("covar_pop", a, b), call("stddev_pop", a), call("stddev_pop", b)
+        return call("count", a), call("covar_pop", b, a), root(call("covar_pop", a, a)), root(call("covar_pop", b, b))
 
     def _last_pairs(self, x: X, y: X, w: int) -> tuple[X, X, X, X]:
         """_pairs() of the last w complete pairs of a group, however many gaps lie between them."""
@@ -237,7 +249,7 @@ class Series:
         later = self.whole("count", a) - self._over(f"count({a.text})", a, " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
         a, b = (self.let(join(f"(case when {{0}} < {w} then {{1}} end)", later, v)) for v in (a, b))
         call = lambda fn, *v: self._window(f"{fn}({', '.join(z.text for z in v)}) {_TAIL}", 0, a.depth)
-        return call("count", a), call("covar_pop", a, b), call("stddev_pop", a), call("stddev_pop", b)
+        return self._moments(call, a, b)
 
     def corr(self, x: X, y: X, w: int) -> X:
         """Rolling correlation; missing where there are no two pairs or a side is flat."""
