@@ -48,8 +48,14 @@ def alpha_groups(size: int = 11) -> dict[str, list[str]]:
     return {f"factors_alpha_{i // size + 1}": names[i : i + size] for i in range(0, len(names), size)}
 
 
+#: Bytecode size up to which the JVM compiles a method; larger ones stay interpreted for good.
+COMPILED = 8000
+
+
 def _run(sql: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Wide stages of many factors would become one huge method each; above this size Spark makes smaller ones by operator.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED))
         register(spark, sf_dir, *tables)
         return spark.sql(sql)
 
