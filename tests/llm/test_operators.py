@@ -436,6 +436,34 @@ def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     assert substrings.report(empty(spark), 60).count() == 0
 
 
+def test_op4_removes_repeats_of_400_bytes_and_no_shorter_passages(spark, tmp_path):
+    rng = random.Random(4)
+
+    def passage(size, letters):
+        """Over 50 words, of this many bytes in all."""
+        t = ""
+        while len(t.encode()) < size - 8:
+            t += "".join(rng.choices(letters, k=rng.randrange(1, 4))) + " "
+        t += "z" * (size - len(t.encode()))
+        assert len(t.encode()) == size and len(t.split()) > 50
+        return t
+
+    want = {300: 0, 399: 0, 400: 400, 401: 401, 900: 900}
+    rows, removed = [], []
+    for size, gone in want.items():
+        for letters in ("abcdefghijk", "aéüñß"):
+            t = passage(size, letters)
+            # What stands beside the passage differs, so that no repeat is longer.
+            for ends in ("01", "23"):
+                rows.append((len(rows), words_text(rng, 40) + ends[0] + t + ends[1] + words_text(rng, 40)))
+                removed.append(gone)
+    rows.append((len(rows), words_text(rng, 300)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op4_substrings(spark, str(tmp_path)).collect())
+    assert got == sorted(brute_removal(rows, 400))
+    assert [r[2] for r in got] == [*removed, 0] and [r[1] for r in got] == [len(t.encode()) for _, t in rows]
+
+
 # --- 5
 
 
