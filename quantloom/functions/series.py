@@ -12,12 +12,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from quantloom.functions.blocks import Plan
 from quantloom.functions.dialect import Dialect, num, rounded
 
 EPS = 1e-8
 #: Standard deviations up to this count as flat in rolling correlations, which are kept to nine decimals.
 FLAT = 1e-9
 _NAME = re.compile(r"\w+")
+#: Columns of a panel that expressions may name.
+COLUMNS = {"seq", "n", "sec", "last", "pre_close", "prev_bar_close", "open", "high", "low", "volume", "amount", "num_trades"}
+COLUMNS |= {f"{side}_{kind}{k}" for side in ("bid", "ask") for kind in ("price", "volume") for k in range(1, 6)}
 _TAIL = "OVER (PARTITION BY dt, code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
@@ -294,23 +298,43 @@ class Series:
         total = self._across(f"sum(abs({x.text}))", x)
         return join(f"(case when {{1}} <= {num(EPS)} then {num(0.0)} else {{0}} / {{1}} end)", X(x.text, 1, x.depth if x.phase == 1 else 0), total)
 
+    def _needed(self) -> set[str]:
+        """Names in series columns: what other series columns are made from is needed at every row, the rest at the last."""
+        return {w for at in (self.layers, self.lets) for (p, _), cols in at.items() if p == 0 for t in cols for w in _NAME.findall(t)}
+
     def query(self, panel: str, outputs: dict[str, X], missing: float | None = 0.0) -> str:
         """SELECT of the outputs by (dt, code), at the last row of each group."""
         parts = [f"panel AS ({panel})"]
-        now = "panel"
-        # Columns that other series columns are made from are needed at every row, the rest at the last.
-        every = {w for at in (self.layers, self.lets) for (p, _), cols in at.items() if p == 0 for t in cols for w in _NAME.findall(t)}
-        for phase in (0, 1):
-            depths = sorted(k for p, k in [*self.layers, *self.lets] if p == phase)
-            if phase == 1:
-                parts.append(f"ends AS (SELECT * FROM {now} WHERE seq = n)")
-                now = "ends"
-            for k in range(max(depths, default=-1) + 1):
-                given, cols = self.lets.get((phase, k), {}), self.layers.get((phase, k), {})
-                cols = {t if phase or c in every else self.tails.get(t, t): c for t, c in cols.items()}
-                for name, made in ((f"given{phase}_{k}", given), (f"layer{phase}_{k}", cols)):
-                    if made:
-                        parts.append(f"{name} AS (SELECT *, {', '.join(f'{t} AS {c}' for t, c in made.items())} FROM {now})")
-                        now = name
+        now = self._layered(0, "panel", parts)
+        parts.append(f"ends AS (SELECT * FROM {now} WHERE seq = n)")
+        return self._select(outputs, missing, parts)
+
+    def plan(self, outputs: dict[str, X]) -> tuple[Plan, list[str]]:
+        """The series columns as a plan for blocks, and the columns that across() needs of every group's last row."""
+        made = {c: t for at in (self.layers, self.lets) for (p, _), cols in at.items() if p == 0 for t, c in cols.items()}
+        every = self._needed()
+        plan = Plan(made, {c for c, t in made.items() if t in self.tails and c not in every})
+        texts = [x.text for x in outputs.values()] + [t for at in (self.layers, self.lets) for (p, _), cols in at.items() if p == 1 for t in cols]
+        names = {w for t in texts for w in _NAME.findall(t)}
+        return plan, sorted(c for c in names if c in made or c in COLUMNS)
+
+    def across(self, ends: str, outputs: dict[str, X], missing: float | None = 0.0) -> str:
+        """query() from the last rows of all groups on."""
+        return self._select(outputs, missing, [f"ends AS (SELECT * FROM {ends})"])
+
+    def _select(self, outputs: dict[str, X], missing: float | None, parts: list[str]) -> str:
+        now = self._layered(1, "ends", parts)
         value = lambda x: rounded(f"coalesce({x.text}, {num(missing)})" if missing is not None else x.text)
         return f"WITH {', '.join(parts)} SELECT cast(dt as {self.d.string}) AS dt, code, {', '.join(f'{value(x)} AS {name}' for name, x in outputs.items())} FROM {now}"
+
+    def _layered(self, phase: int, now: str, parts: list[str]) -> str:
+        """Appends the layers of a phase over a table; returns the last one's name."""
+        every = self._needed()
+        for k in range(max((k for p, k in [*self.layers, *self.lets] if p == phase), default=-1) + 1):
+            given, cols = self.lets.get((phase, k), {}), self.layers.get((phase, k), {})
+            cols = {t if phase or c in every else self.tails.get(t, t): c for t, c in cols.items()}
+            for name, made in ((f"given{phase}_{k}", given), (f"layer{phase}_{k}", cols)):
+                if made:
+                    parts.append(f"{name} AS (SELECT *, {', '.join(f'{t} AS {c}' for t, c in made.items())} FROM {now})")
+                    now = name
+        return now

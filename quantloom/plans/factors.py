@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.functions import blocks
 from quantloom.functions.alphas import ALPHAS, Columns
 from quantloom.functions.dialect import DUCKDB, SPARK, Dialect
 from quantloom.functions.grouped import Grouped
@@ -52,6 +54,12 @@ def alpha_groups(size: int = 11) -> dict[str, list[str]]:
 COMPILED = 8000
 
 
+#: Alpha queries whose factors need most of their windows and ranks at every row.
+BLOCKS = ("factors_alpha_6",)
+# Workers get the code with the task, as for plain expressions, wherever the package lies.
+cloudpickle.register_pickle_by_value(blocks)
+
+
 def _run(sql: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Wide stages of many factors would become one huge method each; above this size Spark makes smaller ones by operator.
@@ -62,6 +70,35 @@ def _run(sql: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def alpha_blocks(names: Iterable[str], params: dict[str, dict] | None = None) -> Callable[[SparkSession, DataFrame], DataFrame]:
+    """alpha_sql() of factors as a function of a panel, its series layers in numpy blocks and its cross-sections in SQL.
+
+    The rows of one (dt, code) have to lie in one partition, as after any window over them; all else raises an error.
+    """
+    s = Series(SPARK)
+    c = Columns(s)
+    outputs = {n: ALPHAS[n](s, c, **(params or {}).get(n, {})) for n in names}
+    ends = blocks.Ends(*s.plan(outputs))
+    kinds = "".join(f", {n} {'array<double>' if n in ends.lists() else 'double'}" for n in ends.names)
+
+    def run(spark: SparkSession, panel: DataFrame) -> DataFrame:
+        rows = panel.select("dt", "code", "seq", *ends.base).sortWithinPartitions("dt", "code", "seq")
+        return spark.sql(s.across("{ends}", outputs), ends=rows.mapInArrow(ends, f"dt date, code string{kinds}"))
+
+    return run
+
+
+def _run_blocks(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    run = alpha_blocks(names)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED))
+        register(spark, sf_dir, "lineitem")
+        return run(spark, spark.sql(panel_sql(SPARK)))
+
+    return query
+
+
 def grouped_groups() -> dict[str, list[str]]:
     """Group factors in the sets that are queried together."""
     a, b = list(CLASSIC), list(T1430)
@@ -76,7 +113,7 @@ def _sql(d: Dialect) -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _run(v, "lineitem") for k, v in _sql(SPARK).items()}
+    return {k: _run(v, "lineitem") for k, v in _sql(SPARK).items()} | {k: _run_blocks(alpha_groups()[k]) for k in BLOCKS}
 
 
 def oracle_sql() -> dict[str, str]:
